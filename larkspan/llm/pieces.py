@@ -360,25 +360,25 @@ class Encoder:
         return text[1:] if self.model.prefix and text[:1] == " " else text
 
 
-_ENCODERS: dict[int, Encoder] = {}
+_ENCODERS: dict[str, Encoder] = {}
 
 
-def _encoder(shared) -> Encoder:
-    """The worker's encoder of this broadcast: its cache serves all tasks of the worker."""
-    if shared.id not in _ENCODERS:
+def _encoder(key: str, shared) -> Encoder:
+    """The worker's encoder of this model: its caches serve all tasks of the worker."""
+    if key not in _ENCODERS:
         _ENCODERS.clear()
         model, usable = pickle.loads(shared.value)
-        _ENCODERS[shared.id] = Encoder(model, usable=usable)
-    return _ENCODERS[shared.id]
+        _ENCODERS[key] = Encoder(model, usable=usable)
+    return _ENCODERS[key]
 
 
-def _share(docs: DataFrame, path: str):
+def _share(docs: DataFrame, path: str) -> tuple[str, object]:
     with open(path, "rb") as f:
         encoder = Encoder(Model(f.read()))
     blob = pickle.dumps((encoder.model, encoder.usable))
     if len(blob) > MAX_BROADCAST_BYTES:
         raise ValueError(f"the model has {len(blob)} bytes")
-    return docs.sparkSession.sparkContext.broadcast(blob)
+    return hashlib.sha256(blob).hexdigest(), docs.sparkSession.sparkContext.broadcast(blob)
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -392,10 +392,10 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     columns ignored.
     """
     kind = dict(docs.select(F.col(id_col).alias("doc_id")).dtypes)["doc_id"]
-    shared = _share(docs, path)
+    key, shared = _share(docs, path)
 
     def each():
-        encoder = _encoder(shared)
+        encoder = _encoder(key, shared)
         low, high = (min(encoder.model.bytes.values(), default=0), max(encoder.model.bytes.values(), default=-1))
 
         def step(part: pa.RecordBatch) -> dict:
@@ -421,10 +421,10 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """One row per row: doc_id and text.  Null ids decode to a null text, no ids to an empty one."""
     kind = dict(encoded.select(F.col(id_col).alias("doc_id")).dtypes)["doc_id"]
-    shared = _share(encoded, path)
+    key, shared = _share(encoded, path)
 
     def each():
-        encoder = _encoder(shared)
+        encoder = _encoder(key, shared)
 
         def step(part: pa.RecordBatch) -> dict:
             return {"doc_id": part.column(0), "text": [None if ids is None else encoder.decode(ids) for ids in part.column(1).to_pylist()]}
