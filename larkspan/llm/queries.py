@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspan.llm import decontamination, language_id, licenses, lm_scoring, near_duplicates, pieces, quality, sharding, token_counts
+from larkspan.llm import decontamination, language_id, licenses, lm_scoring, near_duplicates, pieces, quality, repeats, sharding, token_counts
 from larkspan.llm.common import table
 
 
@@ -39,6 +39,10 @@ def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("matches").cast("long").alias("n_matches"), F.array_sort(F.array_distinct("matches.license")).alias("licenses"), "matches")
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removed(table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "contaminated", F.size("matches").cast("long").alias("n_items"), F.col("matches.item_id").alias("item_ids"), "matches")
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sentencepiece": op3_sentencepiece,
     "op4_sharding": op4_sharding,
     "op5_license_scans": op5_license_scans,
+    "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op7_decontamination": op7_decontamination,
     "op8_quality_rules": op8_quality_rules,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
