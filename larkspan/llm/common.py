@@ -72,3 +72,14 @@ def map_slices(df: DataFrame, schema: str, each: Callable[[], Callable[[pa.Recor
                 yield pa.RecordBatch.from_arrays([pa.array(made[f.name], type=f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, out)
+
+
+def filter_slices(df: DataFrame, text_col: str, each: Callable[[], Callable[[list[str | None]], list[bool]]], limit: int = SLICE_BYTES) -> DataFrame:
+    """The rows of ``df``, all columns as they are, whose texts the step keeps."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = each()
+        for part in slices(batches, text_col, limit):
+            yield part.filter(pa.array(step(part.column(part.schema.get_field_index(text_col)).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspan.llm.common import id_and_text, map_slices
+from larkspan.llm.common import filter_slices, id_and_text, map_slices
 
 #: Edits allowed, as a share of an item's characters.
 MAX_ERROR_RATE = 0.08
@@ -182,3 +182,16 @@ def contamination(docs: DataFrame, items: DataFrame, rate: float = MAX_ERROR_RAT
 
         found = reduce(DataFrame.unionAll, scans).groupBy("doc_id").agg(F.flatten(F.collect_list("matches")).alias("matches"))
     return found.select("doc_id", (F.size("matches") > 0).alias("contaminated"), F.array_sort("matches").alias("matches"))
+
+
+def without_contaminated(docs: DataFrame, items: DataFrame, rate: float = MAX_ERROR_RATE, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The documents, all columns kept, in which no item is found."""
+    for block in _blocks(items, item_col, item_text_col):
+        shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(block))
+
+        def each(shared=shared):
+            matcher = Matcher(pickle.loads(shared.value), rate)
+            return lambda texts: [not matcher.matches(t or "") for t in texts]
+
+        docs = filter_slices(docs, text_col, each)
+    return docs

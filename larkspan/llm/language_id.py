@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspan.llm.common import map_slices
+from larkspan.llm.common import filter_slices, map_slices
 
 #: Units of each direction.
 HIDDEN = 6
@@ -305,3 +305,21 @@ def identify(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: st
 
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return map_slices(rows, f"doc_id {kind}, held_out boolean, lang_pred string, score double", each)
+
+
+def identified(docs: DataFrame, net: Network, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The documents, all columns kept, whose language is determined with at least that score."""
+    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(net))
+
+    def each():
+        net = pickle.loads(shared.value)
+        reader = Reader(net)
+
+        def step(texts: list[str | None]) -> list[bool]:
+            known = [bool(net.languages and t and _LETTER.search(t)) for t in texts]
+            pooled = reader.documents([t.encode() if k else b"" for t, k in zip(texts, known)]) if net.languages else np.zeros((len(texts), 1))
+            return [k and bool(row.max() >= least) for k, row in zip(known, pooled)]
+
+        return step
+
+    return filter_slices(docs, text_col, each)

@@ -315,3 +315,13 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, widt
     classes = labels.join(least, "label").select("node", "class_id")
     of = nodes.select("node", "first").join(classes, "node", "left").select("node", F.coalesce("class_id", "first").alias("class_id"))
     return made.select("doc_id", "node", "n_shingles").join(of, "node", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"), "n_shingles")
+
+
+def one_of_each_class(docs: DataFrame, similarity: float = SIMILARITY, width: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, all columns kept, that are the least of their class.
+
+    Of rows with one id one stays; rows with a null id all stay.
+    """
+    classes = near_duplicate_classes(docs, similarity, width, id_col, text_col)
+    stay = durable(classes.where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias(id_col)).distinct())
+    return docs.join(stay, id_col, "left_semi").dropDuplicates([id_col]).unionAll(docs.where(F.col(id_col).isNull()))
