@@ -109,7 +109,8 @@ class Scanner:
                     found.append((self.names[k], k, share, places[a][0] if exact else -1, places[b][1] if exact else -1))
                 first = last = diagonal
         # Of templates that share a place, the ones that match it best stay.
-        best = [x for x in set(found) if not any(y[2] > x[2] and y[3] < x[4] and x[3] < y[4] and y[4] - y[3] >= x[4] - x[3] for y in found)]
+        rank = lambda x: (x[2], len(self.words[x[1]]))
+        best = [x for x in set(found) if not any(rank(y) > rank(x) and y[3] < x[4] and x[3] < y[4] and y[4] - y[3] >= x[4] - x[3] for y in found)]
         return sorted(best, key=lambda x: (x[3], x[4], x[1]))
 
     def _align(self, k: int, ids: list[int | None], first: int, last: int, band: int) -> tuple[float, int, int] | None:
