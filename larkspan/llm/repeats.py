@@ -118,7 +118,7 @@ def _batches(docs: DataFrame, text_col: str, size: int) -> DataFrame:
             nonlocal number, held, n
             sink = pa.BufferOutputStream()
             merged = pa.Table.from_batches(held).combine_chunks()
-            with pa.ipc.new_stream(sink, merged.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            with pa.ipc.new_stream(sink, merged.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as out:
                 out.write_table(merged)
             row = pa.RecordBatch.from_pydict({"batch": pa.array([number], pa.int64()), "n_bytes": pa.array([n], pa.int64()), "payload": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
             number, held, n = number + 1, [], 0
@@ -201,15 +201,15 @@ class SuffixLevels:
 def _shared_anchors(pdf: pd.DataFrame, hot: int) -> pd.DataFrame:
     """A bucket's answer to each batch: its anchors that another document has too."""
     parts = [np.frombuffer(_expand(b), np.uint32) for b in pdf["blob"]]
-    values = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
-    known, counts = np.unique(values, return_counts=True)
-    shared, busy = known[counts > 1], known[counts > hot]
+    _, inverse, counts = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+    times = counts[inverse]
+    ends = np.cumsum([len(p) for p in parts])
     rows = []
-    for batch, part in zip(pdf["batch"], parts):
-        mine = np.unique(part)
-        mine = mine[np.isin(mine, shared)]
-        if len(mine):
-            rows.append((batch, pdf["bucket"].iloc[0], _squeeze(np.int32([len(mine)]), mine, np.isin(mine, busy))))
+    for batch, part, n in zip(pdf["batch"], parts, np.split(times, ends[:-1])):
+        keep = n > 1
+        keep[1:] &= part[1:] != part[:-1]  # sent twice by one batch
+        if keep.any():
+            rows.append((batch, pdf["bucket"].iloc[0], _squeeze(np.int32([keep.sum()]), part[keep], n[keep] > hot)))
     return pd.DataFrame(rows, columns=["batch", "bucket", "blob"])
 
 
@@ -255,18 +255,24 @@ def _stretches(batch: int, payload: bytes, answers: list[tuple[int, bytes]], id_
     out = []
     for to, entries in sent.items():
         docs, rows_, at, texts = zip(*entries)
-        out.append((to, _squeeze(np.int32([len(entries)]), np.array(docs, np.int64), np.array(rows_, np.int32), np.array(at, np.int32), np.array([len(t) for t in texts], np.int32), np.frombuffer(b"".join(texts), np.uint8))))
+        steps = np.diff(np.array(docs, np.int64), prepend=0)  # in order of ids: small steps
+        out.append((to, _squeeze(np.int32([len(entries)]), steps, np.array(rows_, np.int32), np.array(at, np.int32), np.array([len(t) for t in texts], np.int32), np.frombuffer(b"".join(texts), np.uint8))))
     return out, _squeeze(np.array(settled, np.int32)) if settled else None
 
 
 def _indexed(pdf: pd.DataFrame, length: int, level: int) -> pd.DataFrame:
-    """A bucket's repeats: per batch the runs of windows that a smaller document has."""
+    """A bucket's repeats: per batch the runs of windows that a smaller document has.
+
+    Buckets below zero hold runs that batches have settled themselves.
+    """
+    if pdf["bucket"].iloc[0] < 0:
+        return pdf[["batch", "blob"]]
     docs, batches, rows, at, sizes, texts = [], [], [], [], [], []
     for batch, blob in zip(pdf["batch"], pdf["blob"]):
         raw = _expand(blob)
         n = struct.unpack_from("<i", raw)[0]
         o = 4
-        docs.append(np.frombuffer(raw, np.int64, n, o))
+        docs.append(np.cumsum(np.frombuffer(raw, np.int64, n, o)))
         rows.append(np.frombuffer(raw, np.int32, n, o + 8 * n))
         at.append(np.frombuffer(raw, np.int32, n, o + 12 * n))
         sizes.append(np.frombuffer(raw, np.int32, n, o + 16 * n))
@@ -345,7 +351,7 @@ def _with_blobs(batches: DataFrame, blobs: DataFrame) -> DataFrame:
 
 
 def _found(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int, batch_bytes: int, bucket_bytes: int, hot: int, level: int) -> DataFrame:
-    """(batch, n_bytes, payload, blobs): each batch with its repeated runs of windows."""
+    """(batch, payload, blobs): each batch with its repeated runs of windows."""
     batches = durable(_batches(docs, text_col, batch_bytes))
     total = batches.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(8, -(-total // bucket_bytes))
@@ -383,14 +389,15 @@ def _found(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int,
         for part in found:
             for batch, payload, blobs in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist()):
                 out, settled = _stretches(batch, payload, [(x["bucket"], x["blob"]) for x in blobs or []], id_col, text_col, length, gram, buckets)
-                out += [(-1, settled)] if settled is not None else []
+                out += [(-1 - batch % buckets, settled)] if settled is not None else []
                 for b, blob in out:
                     yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int64()), "batch": pa.array([batch], pa.int64()), "blob": pa.array([blob], pa.binary())})
 
-    stretches = durable(_with_blobs(batches.select("batch", "payload"), answers).select("batch", "payload", "blobs").mapInArrow(stretch, "bucket long, batch long, blob binary"))
-    indexed = stretches.where("bucket >= 0").groupBy("bucket").applyInPandas(lambda pdf: _indexed(pdf, length, level), "batch long, blob binary")
-    repeats = indexed.select("batch", F.lit(0).cast("long").alias("bucket"), "blob").unionAll(stretches.where("bucket < 0").select("batch", "bucket", "blob"))
-    return _with_blobs(batches, repeats)
+    # One plan from here on: both joins read the same exchange of the batches.
+    batches = batches.select("batch", "payload")
+    stretches = _with_blobs(batches, answers).select("batch", "payload", "blobs").mapInArrow(stretch, "bucket long, batch long, blob binary")
+    indexed = stretches.groupBy("bucket").applyInPandas(lambda pdf: _indexed(pdf, length, level), "batch long, blob binary")
+    return _with_blobs(batches, indexed.select("batch", F.lit(0).cast("long").alias("bucket"), "blob"))
 
 
 def _run(docs: DataFrame, schema, make: Callable[[pa.RecordBatch, dict[str, list]], pa.RecordBatch], id_col: str, text_col: str, options: dict[str, int]) -> DataFrame:
