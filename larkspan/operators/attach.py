@@ -43,7 +43,7 @@ def enrich(df: DataFrame, scope: Scope, step: Enrich, db: Database, params: Mapp
     inner = side.scope(tuple(x for x in (step.alias, step.source) if x))
     right = side.rows
     if step.where is not None:
-        right = right.where(Compiler(inner, params).compile(step.where))
+        right = right.where(Compiler(inner, params).condition(step.where))
     l, r = scope.resolve(step.left), inner.resolve(step.right)
     lk, rk = join_keys(l, r)
     many = step.cardinality == "many"
@@ -152,7 +152,7 @@ def steps(df: DataFrame, found: tuple[Step, ...], db: Database, params: Mapping[
     for s in found:
         scope = Scope(df.schema, body if body in df.columns else None, aliases)
         if isinstance(s, Where):
-            df = df.where(Compiler(scope, params).compile(s.predicate))
+            df = df.where(Compiler(scope, params).condition(s.predicate))
         elif isinstance(s, Enrich):
             df = enrich(df, scope, s, db, params, strict)
         else:

@@ -165,7 +165,7 @@ class Engine:
         df, more = self._budgeted(side.rows, side.ties, plan)
         scope = side.scope(aliases)
         if plan.where is not None:
-            df = df.where(Compiler(scope, params).compile(plan.where))
+            df = df.where(Compiler(scope, params).condition(plan.where))
         ties = side.ties
         if plan.grouped:
             df = group(df, plan, scope)

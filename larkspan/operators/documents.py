@@ -103,7 +103,7 @@ class Documents:
     # policy
 
     def _where(self, df: DataFrame, criteria: Mapping[str, Any]) -> DataFrame:
-        return df.where(Compiler(Scope(df.schema), {}, filter_profile=True).compile(from_mongo(normalise(criteria)).node))
+        return df.where(Compiler(Scope(df.schema), {}, filter_profile=True).condition(from_mongo(normalise(criteria)).node))
 
     def _visible(self, name: str, criteria: Mapping[str, Any] | None = None) -> DataFrame:
         if name not in self.tables:

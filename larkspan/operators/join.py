@@ -94,7 +94,7 @@ class MultiQuery:
         if s.documents is not None and rows.limit(s.documents + 1).count() > s.documents:
             raise BudgetError("budget_exceeded", s.alias)
         if s.where is not None:
-            rows = rows.where(P.Compiler(side.scope((s.alias, s.name)), self.params).compile(s.where))
+            rows = rows.where(P.Compiler(side.scope((s.alias, s.name)), self.params).condition(s.where))
         if s.limit is not None:
             rows = rows.orderBy(*[F.col(f"`{t}`") for t in side.ties]).limit(s.limit)
         names = [c for c in rows.columns if c != "_key" or self.keys or side.df.columns == rows.columns]

@@ -287,6 +287,35 @@ class Compiler:
             raise StaticError("predicate_too_large")
         return self._compile(p)
 
+    def condition(self, p: Predicate) -> Column:
+        """For use as a filter only: may be NULL for false, so that comparisons reach the scan.
+
+        Outside a negation NULL and false drop the same rows, through AND and OR alike.
+        """
+        if count_nodes(p) > _MAX_NODES:
+            raise StaticError("predicate_too_large")
+        return self._condition(p)
+
+    def _condition(self, p: Predicate) -> Column:
+        match p:
+            case And(parts) if parts:
+                return reduce(lambda a, b: a & b, map(self._condition, parts))
+            case Or(parts) if parts:
+                return reduce(lambda a, b: a | b, map(self._condition, parts))
+            case Compare(op, left, right) if op in COMPARISONS[2:]:
+                a, b = self.slot(left), self.slot(right)
+                if a.kind == b.kind and a.kind in ("num", "str", "time"):
+                    return a.present & b.present & _less(op, a.value, b.value)
+            case Compare("eq", left, Lit(value) as right) if value is not None:
+                a, b = self.slot(left), self.slot(right)
+                if a.kind == b.kind and a.kind in ("num", "str", "bool"):
+                    return a.present & (a.value == b.value)
+            case StartsWith(path, prefix):
+                a, b = self.slot(path), self.slot(prefix)
+                if a.kind == b.kind == "str":
+                    return a.present & F.startswith(a.value, b.value)
+        return self._compile(p)
+
     def _compile(self, p: Predicate) -> Column:
         match p:
             case Const(value):

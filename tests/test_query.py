@@ -212,3 +212,16 @@ def test_scans(db):
     assert [r["id"] for r in db["orders"].iterate()] == [10, 11, 12, 13, 14]
     assert db.list_collections() == ["carts", "customers", "edge", "orders", "products"]
     assert Engine(db).explain("explain from orders where id = 1")["operators"] == ["bind", "scan", "filter", "order", "page"]
+
+
+def test_filters_and_columns_reach_the_scan(db, spark, tmp_path):
+    db["orders"].df.write.parquet(str(tmp_path / "o"))
+    files = Database(spark)
+    files.add("orders", spark.read.parquet(str(tmp_path / "o")), "id")
+    df = Engine(files).run('from orders where status = "F" and total > 1 and (id < 12 or id >= 14) project total')
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    pushed = plan[plan.index("PushedFilters") :].split("]")[0]
+    assert "EqualTo(status,F)" in pushed and "GreaterThan(total,1.0)" in pushed and "Or(" in pushed
+    assert "customer_id" not in plan[plan.index("ReadSchema") :]
+    top = Engine(files).run("from orders order by total desc limit 2")._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in top
