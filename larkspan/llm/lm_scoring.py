@@ -41,7 +41,15 @@ def word_counts(docs: DataFrame, in_domain: Column, text_col: str = "text") -> D
 def dictionary(counts: DataFrame, column: str, size: int = DICTIONARY_BYTES) -> bytes:
     """Raw content: the words that save most, the best last.  At most ``size`` bytes."""
     saved = F.col(column) * F.char_length("word")
-    rows = counts.where(F.col(column) > 1).orderBy(saved.desc(), "word").select("word").limit(size // 3).collect()
+    step = F.floor(F.log(saved) * 16).alias("step")
+    found = counts.where(F.col(column) > 1)
+    # A histogram tells which words can fit at all, so that no task offers more than its share of them.
+    room, least = size, 0
+    for r in sorted(found.groupBy(step).agg(F.sum(F.octet_length("word") + 1).alias("bytes")).collect(), reverse=True):
+        least, room = r.step, room - r.bytes
+        if room <= 0:
+            break
+    rows = found.where(F.floor(F.log(saved) * 16) >= least).orderBy(saved.desc(), "word").select("word").limit(size // 3).collect()
     content, held = [], 0
     for r in rows:
         piece = r.word.encode() + b" "
