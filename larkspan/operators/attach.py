@@ -18,13 +18,37 @@ from pyspark.sql import types as T
 from larkspan.catalog import Collection, Database
 from larkspan.errors import CardinalityError, StaticError
 from larkspan.functions.values import Scope, Slot, canonical
-from larkspan.plans.predicates import Compiler
-from larkspan.plans.query import Enrich, Item, Step, Where, Within
+from larkspan.plans.predicates import Compiler, columns_used
+from larkspan.plans.query import Enrich, Item, Plan, Step, Where, Within
 
 
-def _document(side: Collection) -> Column:
-    """A foreign row as one value: its VARIANT body, or a struct of its columns."""
-    return F.col(side.body) if side.body else F.struct(*[F.col(f"`{c}`") for c in side.rows.columns])
+def _document(side: Collection, fields: set[str] | None = None) -> Column:
+    """A foreign row as one value: its VARIANT body, or a struct of its columns (or of those that are used)."""
+    if side.body:
+        return F.col(side.body)
+    names = [c for c in side.rows.columns if fields is None or c in fields]
+    return F.struct(*[F.col(f"`{c}`") for c in names or side.rows.columns[:1]])
+
+
+def used_fields(plan: Plan, name: str) -> set[str] | None:
+    """The fields of an attachment that a plan reads; None for all of them.
+
+    An aggregate of whole documents would keep every column in the scan.
+    """
+    if plan.brace is None:
+        return None
+    paths = [i.path if i.items is None else f"{i.path}.{j.path}" for i in plan.brace for j in (i.items or (i,))]
+    for s in plan.steps:
+        if isinstance(s, Within):
+            paths.append(s.path)
+        elif isinstance(s, Enrich):
+            paths += [s.left, *columns_used(s.where)]
+        else:
+            paths += columns_used(s.predicate)
+    cut = [p.split(".") for p in paths]
+    cut = [c[1:] if len(c) > 1 and c[0] in (plan.alias, plan.source) else c for c in cut]
+    mine = [c for c in cut if c[0] == name]
+    return None if any(len(c) == 1 for c in mine) else {c[1] for c in mine}
 
 
 def join_keys(left: Slot, right: Slot) -> tuple[Column, Column]:
@@ -35,7 +59,7 @@ def join_keys(left: Slot, right: Slot) -> tuple[Column, Column]:
     return canonical(left), canonical(right)
 
 
-def enrich(df: DataFrame, scope: Scope, step: Enrich, db: Database, params: Mapping[str, Any], strict: bool = True) -> DataFrame:
+def enrich(df: DataFrame, scope: Scope, step: Enrich, db: Database, params: Mapping[str, Any], strict: bool = True, fields: set[str] | None = None) -> DataFrame:
     """Attach ``step.name``: one row, an optional row or null, or all rows by key."""
     if step.name in df.columns:
         raise StaticError("field_exists", step.name)
@@ -48,7 +72,7 @@ def enrich(df: DataFrame, scope: Scope, step: Enrich, db: Database, params: Mapp
     lk, rk = join_keys(l, r)
     many = step.cardinality == "many"
     ties = [t for t in side.ties if t in right.columns]
-    keyed = right.where(r.present).select(rk.alias("__rk"), F.struct(*[F.col(f"`{t}`") for t in ties]).alias("__order"), _document(side).alias("__doc"))
+    keyed = right.where(r.present).select(rk.alias("__rk"), F.struct(*[F.col(f"`{t}`") for t in ties]).alias("__order"), _document(side, fields).alias("__doc"))
     if many:
         # Ordered by the foreign key; a VARIANT can't be compared, so it rides behind the key.
         listed = F.collect_list(F.struct("__order", "__doc")) if side.body is None else F.collect_list(F.struct("__order", F.to_json("__doc").alias("__doc")))
@@ -147,14 +171,14 @@ def within(df: DataFrame, scope: Scope, step: Within, db: Database, params: Mapp
     return _write(joined, step.path, F.col("__array")).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
-def steps(df: DataFrame, found: tuple[Step, ...], db: Database, params: Mapping[str, Any], ties: tuple[str, ...], strict: bool = True, aliases: tuple[str, ...] = (), body: str | None = None) -> DataFrame:
-    """Run attachment steps in order."""
+def steps(df: DataFrame, found: tuple[Step, ...], db: Database, params: Mapping[str, Any], ties: tuple[str, ...], strict: bool = True, aliases: tuple[str, ...] = (), body: str | None = None, plan: Plan | None = None) -> DataFrame:
+    """Run attachment steps in order; ``plan`` tells which fields of them are read."""
     for s in found:
         scope = Scope(df.schema, body if body in df.columns else None, aliases)
         if isinstance(s, Where):
             df = df.where(Compiler(scope, params).condition(s.predicate))
         elif isinstance(s, Enrich):
-            df = enrich(df, scope, s, db, params, strict)
+            df = enrich(df, scope, s, db, params, strict, used_fields(plan, s.name) if plan is not None else None)
         else:
             df = within(df, scope, s, db, params, ties, strict)
     return df

@@ -182,7 +182,7 @@ class Engine:
             roots = [p for p in plan.project if p in df.columns]
             df = df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*roots, *[t for t in side.ties if t in df.columns], *hidden])])
         if plan.steps:
-            df = attach.steps(df, plan.steps, self.db, params, side.ties, self.strict, aliases, side.body)
+            df = attach.steps(df, plan.steps, self.db, params, side.ties, self.strict, aliases, side.body, plan)
             if order:
                 df = df.orderBy(*[s.term() for s in order])
         extra = [F.col(f"`{c}`") for c in keep]

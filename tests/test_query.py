@@ -223,5 +223,11 @@ def test_filters_and_columns_reach_the_scan(db, spark, tmp_path):
     pushed = plan[plan.index("PushedFilters") :].split("]")[0]
     assert "EqualTo(status,F)" in pushed and "GreaterThan(total,1.0)" in pushed and "Or(" in pushed
     assert "customer_id" not in plan[plan.index("ReadSchema") :]
+    db["customers"].df.write.parquet(str(tmp_path / "c"))
+    files.add("customers", spark.read.parquet(str(tmp_path / "c")), "id")
+    joined = Engine(files).run("from orders where id < 13 enrich c using customers matching customer_id = id expect exactly_one project { id, who: c.name }")
+    assert "tier" not in joined._jdf.queryExecution().executedPlan().toString() and [r.who for r in joined.orderBy("id").collect()] == ["ann", "ann", "bob"]
+    nested = Engine(files).run("from orders enrich c using customers matching customer_id = id expect optional where c.tier = \"gold\" project { id, c { name } }")
+    assert [r.c.name for r in nested.orderBy("id").collect()] == ["ann", "ann"] and nested.select("c.*").columns == ["name"]
     top = Engine(files).run("from orders order by total desc limit 2")._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in top
