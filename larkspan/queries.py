@@ -102,11 +102,11 @@ _text("enrich_post_where", ("documents", "labels"), "from documents enrich l usi
 _text("enrich_chain", ("customer", "nation", "region"), "from customer enrich n using nation matching c_nationkey = n_nationkey expect exactly_one enrich r using region matching n.n_regionkey = r_regionkey expect exactly_one project { c_custkey, nation: n.n_name, region: r.r_name }", "SELECT c_custkey, n_name AS nation, r_name AS region FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
 
 
-@_register("enrich_many_count", "SELECT c_custkey, count(o_orderkey) AS n, sum(o_totalprice) AS total FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey")
+@_register("enrich_many_count", "SELECT c_custkey, count(o_orderkey) AS n, round(sum(o_totalprice), 2) AS total FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey")
 def enrich_many_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = Engine(database(spark, sf_dir, "customer", "orders")).run("from customer enrich os using orders matching c_custkey = o_custkey expect many")
     total = F.aggregate("os", F.lit(None).cast("double"), lambda a, x: F.coalesce(a, F.lit(0.0)) + x["o_totalprice"])
-    return rows.select("c_custkey", F.size("os").cast("long").alias("n"), total.alias("total"))
+    return rows.select("c_custkey", F.size("os").cast("long").alias("n"), F.round(total, 2).alias("total"))
 
 
 @_register("enrich_candidate_where", "SELECT c_custkey, o_orderkey FROM customer JOIN orders ON c_custkey = o_custkey AND o_totalprice > 200000 AND o_orderstatus = 'O'")
