@@ -13,6 +13,11 @@ Pairs within a bucket are checked by Hamming distance.  What is near goes on as
 an edge, and edges are verified by the exact Jaccard similarity of the shingle
 sets; classes are the connected components of verified edges.  Equal texts
 share one node from the start, so copies cost one row each.
+
+A row with many near neighbours sends only two edges at first, so a dense group
+costs edges in proportion to its rows.  Once classes are known, such rows are
+compared again, and every near pair across two classes is verified: no link is
+left out, and pairs within a class need no edge.
 """
 
 from __future__ import annotations
@@ -35,7 +40,7 @@ BUCKET, CAP = 512, 4096
 MISS = 0.001
 #: Standard deviations of the distance of a pair just at the threshold that still count as near.
 SLACK = 3.5
-#: Edges a row sends to its bucket's nearest and least rows before it keeps to those two.
+#: With more near rows than this in a bucket, a row first sends edges to the nearest and the least only.
 FEW = 8
 WORD_CACHE = 500_000
 _SEED = 20_240_607
@@ -117,7 +122,7 @@ def _samples(tables: int) -> np.ndarray:
 
 
 def _table_rows(prints: DataFrame, tables: int) -> DataFrame:
-    """A row per document and table: table, key (64 sampled bits, in signed order), node, print."""
+    """A row per document and table: table, key (64 sampled bits, in signed order), node, print, label."""
     samples = _samples(tables)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,24 +133,30 @@ def _table_rows(prints: DataFrame, tables: int) -> DataFrame:
                 bits = np.unpackbits(raw, axis=1)
                 for t in range(tables):
                     key = np.ascontiguousarray(np.packbits(bits[:, samples[t]], axis=1)).view(">u8").reshape(-1).astype(np.uint64) ^ np.uint64(1 << 63)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), t, np.int32)), pa.array(key.view(np.int64)), part.column(0), part.column(1)], names=["table", "key", "node", "print"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), t, np.int32)), pa.array(key.view(np.int64)), part.column(0), part.column(1), part.column(2)], names=["table", "key", "node", "print", "label"])
 
-    return prints.select("node", "print").mapInArrow(run, "table int, key long, node long, print binary")
+    return prints.select("node", "print", "label").mapInArrow(run, "table int, key long, node long, print binary, label long")
 
 
 class _Buckets:
-    """Turns sorted rows of one partition into near pairs, a bucket at a time."""
+    """Turns sorted rows of one partition into near pairs, a bucket at a time.
+
+    ``across``: only pairs of two labels, of which one row is marked by a
+    negative label, and all of those.
+    """
 
-    def __init__(self, bits: int, near: int, cap: int) -> None:
-        self.shift, self.near, self.cap = np.int64(64 - bits), near, cap
+    def __init__(self, bits: int, near: int, cap: int, few: int = FEW, across: bool = False) -> None:
+        self.shift, self.near, self.cap, self.few, self.across = np.int64(64 - bits), near, cap, few, across
         self.table = np.zeros(0, np.int64)
         self.key = np.zeros(0, np.int64)
         self.node = np.zeros(0, np.int64)
         self.prints = np.zeros((0, 4), np.uint64)
+        self.label = np.zeros(0, np.int64)
 
-    def add(self, table: np.ndarray, key: np.ndarray, node: np.ndarray, prints: np.ndarray, final: bool) -> Iterator[np.ndarray]:
+    def add(self, table: np.ndarray, key: np.ndarray, node: np.ndarray, prints: np.ndarray, label: np.ndarray, final: bool) -> Iterator[np.ndarray]:
         self.table, self.key = np.concatenate([self.table, table]), np.concatenate([self.key, key])
         self.node, self.prints = np.concatenate([self.node, node]), np.concatenate([self.prints, prints])
+        self.label = np.concatenate([self.label, label])
         group = (self.key >> self.shift) + (self.table << np.int64(52))
         edges = np.flatnonzero(np.diff(group)) + 1
         ends = [*edges.tolist(), *([len(group)] if final and len(group) else [])]
@@ -161,6 +172,7 @@ class _Buckets:
                 start = cut
             keep = slice(start, None)
         self.table, self.key, self.node, self.prints = self.table[keep], self.key[keep], self.node[keep], self.prints[keep]
+        self.label = self.label[keep]
 
     def _cut(self, start: int, end: int) -> int:
         """Where the rows differ in the earliest of the additional bits; the end where they don't differ."""
@@ -186,7 +198,10 @@ class _Buckets:
         if len(rows) < 2:
             return
         rows = rows[np.argsort(self.node[rows], kind="stable")]
-        node, prints = self.node[rows], self.prints[rows]
+        node, prints, label = self.node[rows], self.prints[rows], np.abs(self.label[rows])
+        dense = self.label[rows] < 0
+        if self.across and not dense.any():
+            return
         out = []
         for at in range(1, len(rows), 256):
             stop = min(at + 256, len(rows))
@@ -194,18 +209,23 @@ class _Buckets:
             for w in range(4):
                 distance += np.bitwise_count(prints[at:stop, w][:, None] ^ prints[None, :stop, w])
             distance[np.arange(stop)[None, :] >= np.arange(at, stop)[:, None]] = 9999
+            if self.across:
+                distance[label[at:stop, None] == label[None, :stop]] = 9999
+                distance[~(dense[at:stop, None] | dense[None, :stop])] = 9999
             for i in np.flatnonzero(distance.min(axis=1) <= self.near):
                 close = np.flatnonzero(distance[i] <= self.near)
-                if len(close) > FEW:
-                    close = np.unique([close[0], close[distance[i][close].argmin()]])
+                if len(close) > self.few and not self.across:  # the row itself as a mark: there was more
+                    close = np.unique([close[0], close[distance[i][close].argmin()], at + i])
                 out.append(np.stack([node[close], np.full(len(close), node[at + i])], axis=1))
         if out:
             yield np.concatenate(out)
 
 
-def _near_edges(prints: DataFrame, bits: int, tables: int, near: int, cap: int) -> DataFrame:
+def _near_edges(prints: DataFrame, bits: int, tables: int, near: int, cap: int, few: int, across: bool = False) -> DataFrame:
+    """Near pairs (a, b); a pair of one node with itself marks a row that has more of them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets = _Buckets(bits, near, cap)
+        buckets = _Buckets(bits, near, cap, few, across)
 
         def made(found: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
             for e in found:
@@ -214,13 +234,13 @@ def _near_edges(prints: DataFrame, bits: int, tables: int, near: int, cap: int)
         for batch in batches:
             if batch.num_rows:
                 raw = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint64).reshape(-1, 4)
-                yield from made(buckets.add(batch.column(0).to_numpy().astype(np.int64), batch.column(1).to_numpy(), batch.column(2).to_numpy(), raw, False))
+                yield from made(buckets.add(batch.column(0).to_numpy().astype(np.int64), batch.column(1).to_numpy(), batch.column(2).to_numpy(), raw, batch.column(4).to_numpy(), False))
         none = np.zeros(0, np.int64)
-        yield from made(buckets.add(none, none, none, np.zeros((0, 4), np.uint64), True))
+        yield from made(buckets.add(none, none, none, np.zeros((0, 4), np.uint64), none, True))
 
     parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = _table_rows(prints, tables).repartitionByRange(parts, "table", "key", "node").sortWithinPartitions("table", "key", "node")
-    return rows.mapInArrow(run, "a long, b long").where("a <> b").distinct()
+    return rows.mapInArrow(run, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -279,7 +299,7 @@ def _verified(edges: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: f
     return map_slices(pairs.select("a", "b", "x", "text"), "a long, b long, j double", check).where(F.col("j") >= similarity)
 
 
-def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, width: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET, cap: int = CAP) -> DataFrame:
+def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, width: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET, cap: int = CAP, few: int = FEW) -> DataFrame:
     """One row per document: doc_id, class_id, n_shingles.
 
     ``class_id`` is the least doc_id of the documents linked to this one,
@@ -308,9 +328,20 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, widt
     nodes = durable(known.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("print").alias("print"), F.max("n_shingles").alias("n_shingles")))
     prints = nodes.where("n_shingles > 0").select("node", "print")
     bits, tables, near = plan(prints.count(), similarity, bucket)
-    edges = durable(_near_edges(prints, bits, tables, near, cap))
-    sure = durable(_verified(edges, rows, nodes.select("node", "first"), similarity, width).select("a", "b"))
+    found = durable(_near_edges(prints.withColumn("label", F.lit(0).cast("long")), bits, tables, near, cap, few))
+    edges, dense = found.where("a <> b"), found.where("a = b").select(F.col("a").alias("node"))
+    firsts = nodes.select("node", "first")
+    sure = durable(_verified(edges, rows, firsts, similarity, width).select("a", "b"))
     labels = components(sure)
+    if dense.limit(1).count():
+        # Labels by hash: negative for rows that had more near neighbours than they sent.
+        label = F.xxhash64(F.coalesce("label", "node")).bitwiseAND(F.lit(2**62 - 1)) + 1
+        marked = prints.join(labels, "node", "left").join(dense.withColumn("dense", F.lit(True)), "node", "left")
+        again = marked.select("node", "print", F.when(F.col("dense"), -label).otherwise(label).alias("label"))
+        rest = durable(_near_edges(again, bits, tables, near, cap, few, across=True).join(edges, ["a", "b"], "left_anti"))
+        if rest.limit(1).count():
+            sure = durable(sure.unionAll(_verified(rest, rows, firsts, similarity, width).select("a", "b")))
+            labels = components(sure)
     least = labels.join(nodes.select("node", "first"), "node").groupBy("label").agg(F.min("first").alias("class_id"))
     classes = labels.join(least, "label").select("node", "class_id")
     of = nodes.select("node", "first").join(classes, "node", "left").select("node", F.coalesce("class_id", "first").alias("class_id"))

@@ -209,6 +209,20 @@ def test_classes(spark, bucket, cap):
     assert got == brute_classes(docs)
 
 
+def test_dense_borderline_groups_lose_no_link(spark):
+    """Variants of one text, many linked only through others; edges are sent for one neighbour at first."""
+    rng = random.Random(4)
+    base = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(120)]
+    docs = []
+    for i in range(60):
+        text = list(base)
+        for _ in range(rng.choice([1, 2, 2, 3, 4])):
+            text[rng.randrange(len(text))] = f"new{rng.randrange(10**6)}"
+        docs.append((i, " ".join(text)))
+    got = Counter((str(r.doc_id), str(r.class_id)) for r in near_duplicates.near_duplicate_classes(frame(spark, docs), few=0).collect())
+    assert got == brute_classes(docs) and 1 < len({c for _, c in got}) < 60
+
+
 def test_classes_of_odd_rows(spark, odd, none):
     got = Counter((str(r.doc_id), str(r.class_id)) for r in near_duplicates.near_duplicate_classes(odd).collect())
     assert got == brute_classes(ODD)
