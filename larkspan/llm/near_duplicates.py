@@ -355,4 +355,5 @@ def one_of_each_class(docs: DataFrame, similarity: float = SIMILARITY, width: in
     """
     classes = near_duplicate_classes(docs, similarity, width, id_col, text_col)
     stay = durable(classes.where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias(id_col)).distinct())
-    return docs.join(stay, id_col, "left_semi").dropDuplicates([id_col]).unionAll(docs.where(F.col(id_col).isNull()))
+    kept = docs.join(stay, id_col, "left_semi").dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
