@@ -5,9 +5,10 @@ Several tables each sample coordinates of the fingerprint at random; documents
 that agree in a table's first few sampled bits share a bucket.  The number of
 those bits follows the number of documents, so buckets keep their size, and the
 number of tables follows from the bits and the recall wanted at the threshold.
-Rows of a table are *sorted* by 64 sampled bits, so a bucket is a run of rows, a
-bucket beyond its cap is cut by the additional bits that the order already
-carries, and no task ever holds more than the cap, however many rows agree.
+Buckets are counted first: the rows of one beyond its cap are spread over blocks
+of about the cap, and every two blocks meet in a group of their own, so that no
+pair of a bucket is left out, and no task holds more than two blocks at a time,
+however many rows agree.  The comparisons of such a bucket grow with its square.
 
 Pairs within a bucket are checked by Hamming distance.  What is near goes on as
 an edge, and edges are verified by the exact Jaccard similarity of the shingle
@@ -34,7 +35,7 @@ from larkspan.llm.common import durable, map_slices
 
 SHINGLE, SIMILARITY = 5, 0.8
 BITS = 256
-#: Documents of a bucket on average, and the most that are compared with each other at once.
+#: Documents of a bucket on average, and of a block, of which two at most are compared with each other at once.
 BUCKET, CAP = 512, 4096
 #: Chance that a pair just at the threshold meets in no table.
 MISS = 0.001
@@ -43,6 +44,8 @@ SLACK = 3.5
 #: With more near rows than this in a bucket, a row first sends edges to the nearest and the least only.
 FEW = 8
 WORD_CACHE = 500_000
+#: Oversized buckets are broadcast up to so many; beyond, joined by shuffle.
+BROADCAST_ROWS = 1_000_000
 _SEED = 20_240_607
 _SALTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 
@@ -121,102 +124,109 @@ def _samples(tables: int) -> np.ndarray:
     return np.stack([rng.permutation(BITS)[:64] for _ in range(tables)])
 
 
-def _table_rows(prints: DataFrame, tables: int) -> DataFrame:
-    """A row per document and table: table, key (64 sampled bits, in signed order), node, print, label."""
-    samples = _samples(tables)
+def _table_rows(prints: DataFrame, bits: int, tables: int, counted: bool = False) -> DataFrame:
+    """A row per document and table: bucket (of one table), node, print, label; ``counted``: buckets only."""
+    samples, shift = _samples(tables), np.int64(64 - bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                raw = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(-1, BITS // 8)
-                bits = np.unpackbits(raw, axis=1)
+                raw = np.frombuffer(b"".join(part.column(0).to_pylist()), np.uint8).reshape(-1, BITS // 8)
+                sampled = np.unpackbits(raw, axis=1)
                 for t in range(tables):
-                    key = np.ascontiguousarray(np.packbits(bits[:, samples[t]], axis=1)).view(">u8").reshape(-1).astype(np.uint64) ^ np.uint64(1 << 63)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), t, np.int32)), pa.array(key.view(np.int64)), part.column(0), part.column(1), part.column(2)], names=["table", "key", "node", "print", "label"])
+                    key = np.ascontiguousarray(np.packbits(sampled[:, samples[t]], axis=1)).view(">u8").reshape(-1).astype(np.uint64) ^ np.uint64(1 << 63)
+                    bucket = pa.array((key.view(np.int64) >> shift) + (np.int64(t) << np.int64(52)))
+                    yield pa.RecordBatch.from_arrays([bucket, *part.columns[: 0 if counted else 3]], names=["bucket", "print", "node", "label"][: 1 if counted else 4])
 
-    return prints.select("node", "print", "label").mapInArrow(run, "table int, key long, node long, print binary, label long")
+    if counted:
+        return prints.select("print").mapInArrow(run, "bucket long")
+    return prints.select("print", "node", "label").mapInArrow(run, "bucket long, print binary, node long, label long")
+
+
+def _grouped_rows(prints: DataFrame, bits: int, tables: int, cap: int) -> DataFrame:
+    """The rows of all tables with their ``piece``: 0, or of an oversized bucket the two blocks that meet and the row's side.
+
+    A row of a bucket of n blocks is in n groups, one with each block, its own included.
+    """
+    rows = _table_rows(prints, bits, tables)
+    large = durable(_table_rows(prints, bits, tables, counted=True).groupBy("bucket").count().where(F.col("count") > cap).select("bucket", F.ceil(F.col("count") / cap).cast("int").alias("blocks")))
+    n = large.limit(BROADCAST_ROWS + 1).count()
+    if not n:
+        return rows.withColumn("piece", F.lit(0).cast("long"))
+    own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")
+    met = rows.join(F.broadcast(large) if n <= BROADCAST_ROWS else large, "bucket", "left").withColumn("own", F.coalesce(own, F.lit(0)))
+    each = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
+    low, high = F.least("own", "other").cast("long"), F.greatest("own", "other").cast("long")
+    return each.select("bucket", "print", "node", "label", (F.shiftleft(low, 32) + F.shiftleft(high, 1) + (F.col("own") > F.col("other")).cast("long")).alias("piece"))
 
 
 class _Buckets:
-    """Turns sorted rows of one partition into near pairs, a bucket at a time.
+    """Turns sorted rows of one partition into near pairs, a bucket or two blocks of one at a time.
 
     ``across``: only pairs of two labels, of which one row is marked by a
     negative label, and all of those.
     """
 
-    def __init__(self, bits: int, near: int, cap: int, few: int = FEW, across: bool = False) -> None:
-        self.shift, self.near, self.cap, self.few, self.across = np.int64(64 - bits), near, cap, few, across
-        self.table = np.zeros(0, np.int64)
-        self.key = np.zeros(0, np.int64)
+    def __init__(self, near: int, few: int = FEW, across: bool = False) -> None:
+        self.near, self.few, self.across = near, few, across
+        self.bucket = np.zeros(0, np.int64)
+        self.piece = np.zeros(0, np.int64)
         self.node = np.zeros(0, np.int64)
         self.prints = np.zeros((0, 4), np.uint64)
         self.label = np.zeros(0, np.int64)
 
-    def add(self, table: np.ndarray, key: np.ndarray, node: np.ndarray, prints: np.ndarray, label: np.ndarray, final: bool) -> Iterator[np.ndarray]:
-        self.table, self.key = np.concatenate([self.table, table]), np.concatenate([self.key, key])
+    def add(self, bucket: np.ndarray, piece: np.ndarray, node: np.ndarray, prints: np.ndarray, label: np.ndarray, final: bool) -> Iterator[np.ndarray]:
+        self.bucket, self.piece = np.concatenate([self.bucket, bucket]), np.concatenate([self.piece, piece])
         self.node, self.prints = np.concatenate([self.node, node]), np.concatenate([self.prints, prints])
         self.label = np.concatenate([self.label, label])
-        group = (self.key >> self.shift) + (self.table << np.int64(52))
-        edges = np.flatnonzero(np.diff(group)) + 1
-        ends = [*edges.tolist(), *([len(group)] if final and len(group) else [])]
+        edges = np.flatnonzero((np.diff(self.bucket) != 0) | (np.diff(self.piece >> np.int64(1)) != 0)) + 1
+        ends = [*edges.tolist(), *([len(self.bucket)] if final and len(self.bucket) else [])]
         start = 0
         for end in ends:
-            yield from self._bucket(start, end)
+            yield from self._group(start, end)
             start = end
         keep = slice(start, None)
-        if not final:  # an unfinished bucket never holds more than the cap
-            while len(self.key) - start > 2 * self.cap:
-                cut = self._cut(start, start + self.cap)
-                yield from self._bucket(start, cut)
-                start = cut
-            keep = slice(start, None)
-        self.table, self.key, self.node, self.prints = self.table[keep], self.key[keep], self.node[keep], self.prints[keep]
+        self.bucket, self.piece, self.node, self.prints = self.bucket[keep], self.piece[keep], self.node[keep], self.prints[keep]
         self.label = self.label[keep]
 
-    def _cut(self, start: int, end: int) -> int:
-        """Where the rows differ in the earliest of the additional bits; the end where they don't differ."""
-        key = self.key[start : end + 1]
-        apart = (key[1:] ^ key[:-1]).view(np.uint64)
-        apart[: min(len(apart) - 1, self.cap // 4)] = 0  # leave no splinters
-        return start + 1 + int(apart.argmax()) if apart.any() else end
-
-    def _bucket(self, start: int, end: int) -> Iterator[np.ndarray]:
-        leader = None
-        while end - start > self.cap:
-            cut = self._cut(start, start + self.cap)
-            yield from self._pairs(start, cut, leader)
-            # Rows alike in all 64 bits: the next ones are compared with one of these too.
-            leader = start if self.key[cut - 1] == self.key[cut] else None
-            start = cut
-        yield from self._pairs(start, end, leader)
-
-    def _pairs(self, start: int, end: int, leader: int | None) -> Iterator[np.ndarray]:
-        rows = np.arange(start, end)
-        if leader is not None:
-            rows = np.concatenate([[leader], rows])
-        if len(rows) < 2:
+    def _group(self, start: int, end: int) -> Iterator[np.ndarray]:
+        """Two blocks are compared with each other, one (or a whole bucket) with itself; rows are sorted by side and node."""
+        piece = int(self.piece[start])
+        if piece >> 32 == (piece & 0xFFFFFFFF) >> 1:
+            yield from self._pairs(start, end, None)
+        else:
+            yield from self._pairs(start, end, int(np.searchsorted(self.piece[start:end] & 1, 1)))
+
+    def _pairs(self, start: int, end: int, middle: int | None) -> Iterator[np.ndarray]:
+        """Near pairs of rows before and from ``middle`` on, or of all rows."""
+        size = end - start
+        if size < 2:
             return
-        rows = rows[np.argsort(self.node[rows], kind="stable")]
-        node, prints, label = self.node[rows], self.prints[rows], np.abs(self.label[rows])
-        dense = self.label[rows] < 0
+        node, prints, label = self.node[start:end], self.prints[start:end], np.abs(self.label[start:end])
+        dense = self.label[start:end] < 0
         if self.across and not dense.any():
             return
         out = []
-        for at in range(1, len(rows), 256):
-            stop = min(at + 256, len(rows))
-            distance = np.zeros((stop - at, stop), np.uint16)
+        for at in range(1 if middle is None else middle, size, 256):
+            stop = min(at + 256, size)
+            limit = stop if middle is None else middle
+            if not limit:
+                return
+            distance = np.zeros((stop - at, limit), np.uint16)
             for w in range(4):
-                distance += np.bitwise_count(prints[at:stop, w][:, None] ^ prints[None, :stop, w])
-            distance[np.arange(stop)[None, :] >= np.arange(at, stop)[:, None]] = 9999
+                distance += np.bitwise_count(prints[at:stop, w][:, None] ^ prints[None, :limit, w])
+            if middle is None:
+                distance[np.arange(limit)[None, :] >= np.arange(at, stop)[:, None]] = 9999
             if self.across:
-                distance[label[at:stop, None] == label[None, :stop]] = 9999
-                distance[~(dense[at:stop, None] | dense[None, :stop])] = 9999
+                distance[label[at:stop, None] == label[None, :limit]] = 9999
+                distance[~(dense[at:stop, None] | dense[None, :limit])] = 9999
             for i in np.flatnonzero(distance.min(axis=1) <= self.near):
-                close = np.flatnonzero(distance[i] <= self.near)
+                close, own = np.flatnonzero(distance[i] <= self.near), node[at + i]
+                ends = node[close]
                 if len(close) > self.few and not self.across:  # the row itself as a mark: there was more
-                    close = np.unique([close[0], close[distance[i][close].argmin()], at + i])
-                out.append(np.stack([node[close], np.full(len(close), node[at + i])], axis=1))
+                    ends = np.unique([ends[0], ends[distance[i][close].argmin()], own])
+                out.append(np.stack([np.minimum(ends, own), np.maximum(ends, own)], axis=1))
         if out:
             yield np.concatenate(out)
 
@@ -225,7 +235,7 @@ def _near_edges(prints: DataFrame, bits: int, tables: int, near: int, cap: int,
     """Near pairs (a, b); a pair of one node with itself marks a row that has more of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets = _Buckets(bits, near, cap, few, across)
+        buckets = _Buckets(near, few, across)
 
         def made(found: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
             for e in found:
@@ -233,13 +243,13 @@ def _near_edges(prints: DataFrame, bits: int, tables: int, near: int, cap: int,
 
         for batch in batches:
             if batch.num_rows:
-                raw = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint64).reshape(-1, 4)
-                yield from made(buckets.add(batch.column(0).to_numpy().astype(np.int64), batch.column(1).to_numpy(), batch.column(2).to_numpy(), raw, batch.column(4).to_numpy(), False))
+                raw = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(-1, 4)
+                yield from made(buckets.add(batch.column(0).to_numpy(), batch.column(4).to_numpy(), batch.column(2).to_numpy(), raw, batch.column(3).to_numpy(), False))
         none = np.zeros(0, np.int64)
         yield from made(buckets.add(none, none, none, np.zeros((0, 4), np.uint64), none, True))
 
     parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = _table_rows(prints, tables).repartitionByRange(parts, "table", "key", "node").sortWithinPartitions("table", "key", "node")
+    rows = _grouped_rows(prints, bits, tables, cap).repartition(parts, "bucket", F.shiftright("piece", 1)).sortWithinPartitions("bucket", "piece", "node")
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 

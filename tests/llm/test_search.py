@@ -223,6 +223,22 @@ def test_dense_borderline_groups_lose_no_link(spark):
     assert got == brute_classes(docs) and 1 < len({c for _, c in got}) < 60
 
 
+@pytest.mark.parametrize("cap", [16, 4096])
+def test_a_hot_group_beyond_the_cap_loses_no_pair(spark, cap):
+    """All texts share boilerplate, so buckets hold about half of them; each has one near copy."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    boiler = [word() for _ in range(150)]
+    docs = []
+    for i in range(0, 400, 2):
+        own = [word() for _ in range(44)]
+        copy = boiler + own[:26] + [word() for _ in range(18)]
+        docs += [(i, " ".join(boiler + own)), (i + 1, " ".join(copy))]
+    got = Counter((str(r.doc_id), str(r.class_id)) for r in near_duplicates.near_duplicate_classes(frame(spark, docs), cap=cap).collect())
+    want = brute_classes(docs)
+    assert len({c for _, c in want}) == 200 and got == want
+
+
 def test_classes_of_odd_rows(spark, odd, none):
     got = Counter((str(r.doc_id), str(r.class_id)) for r in near_duplicates.near_duplicate_classes(odd).collect())
     assert got == brute_classes(ODD)
