@@ -161,6 +161,18 @@ def test_licenses(spark, odd, none, small):
     assert all((got[d.doc_id] > 0) == any(t in d.text for t in whole) for d in docs)
 
 
+def test_license_lines_of_the_documents(spark, small):
+    """The lines as documents hold them, read off sf0.1 and not taken from the templates."""
+    lines = {"All rights reserved.": "proprietary", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Released under the MIT License.": "MIT", "Licensed under the Apache License, Version 2.0.": "Apache-2.0"}
+    scanner = licenses.Scanner(list(licenses.TEMPLATES))
+    for line, license in lines.items():
+        text = f"Some words of a text.\n{line}\nand more"
+        assert [(m[0], text[m[3] : m[4]]) for m in scanner.scan(text)] == [(license, line.rstrip("."))]
+    got = {r.doc_id: r.n_matches for r in queries.op5_license_scans(spark, small).collect()}
+    docs = spark.read.parquet(f"{small}/documents.parquet").collect()
+    assert any("All rights reserved." in d.text for d in docs) and all((got[d.doc_id] > 0) == any(x in d.text for x in lines) for d in docs)
+
+
 # near-duplicates
 
 
