@@ -1,9 +1,11 @@
 """License scans: winnowed fingerprints, then banded alignment.
 
 Templates are cut into words; the hashes of their k-word windows are winnowed
-(the least of every few neighbours is kept) into an inverted index.  A
-document's windows of template words are looked up in it; hits on nearby
-diagonals form a candidate, and a banded alignment of the template with that
+(the least of every few neighbours is kept) into an inverted index.  Beside
+them it has single words: of a template that may lack e words, the e + 1 most
+telling ones, of which every match holds one.  A document's windows and words
+are looked up in it; hits on nearby diagonals form a candidate of a template
+of whose words the document has enough, and a banded alignment of the template with that
 part of the document reports which share of the template's words match and
 which span of the text they cover.
 """
@@ -13,7 +15,7 @@ from __future__ import annotations
 import pickle
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,6 +27,8 @@ from larkspan.llm.common import MAX_BROADCAST_BYTES, id_and_text, map_slices
 WINDOW, WINNOW = 3, 2
 #: Least share of a template's words that must match.
 MIN_COVERAGE = 0.8
+#: Words that tell little; others are preferred as single fingerprints.
+_COMMON = frozenset("a above all and any are as at be by copy following for form free from hereby in into is it its may must no not of on or other part provided public purpose that the this to under use version will with without work you".split())
 _WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
 
 _GRANT = (
@@ -88,6 +92,15 @@ class Scanner:
             for i in kept:
                 self.index[grams[i]].append((k, i))
         self.firsts = {g[0] for g in self.index}
+        # Of e + 1 places one is left by any e losses, wherever they are.
+        self.needed = [next(x for x in range(len(t) + 1) if x >= coverage * len(t) or x / len(t) >= coverage) for t in self.words]
+        self.sizes = [Counter(self.vocabulary[w] for w in t) for t in self.words]
+        shared = Counter(w for t in self.words for w in set(t))
+        self.telling: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for k, words in enumerate(self.words):
+            order = sorted(range(len(words)), key=lambda i: (words[i] in _COMMON, shared[words[i]], -len(words[i]), i))
+            for i in order[: len(words) - self.needed[k] + 1]:
+                self.telling[self.vocabulary[words[i]]].append((k, i))
 
     def scan(self, text: str) -> list[tuple[str, int, float, int, int]]:
         """(license, template, coverage, begin, end) of every match, in order of place."""
@@ -99,6 +112,12 @@ class Scanner:
             if at + w <= n:
                 for k, i in self.index.get(tuple(ids[at : at + w]), ()):
                     hits[k].append((at - i, at))
+        for at, x in enumerate(ids):
+            for k, i in self.telling.get(x, ()):
+                hits[k].append((at - i, at))
+        if hits:
+            there = set(ids)
+            hits = {k: points for k, points in hits.items() if sum(n for x, n in self.sizes[k].items() if x in there) >= self.needed[k]}
         if not hits:
             return []
         places = [m.span() for m in _WORD.finditer(text.lower())]

@@ -173,6 +173,33 @@ def test_license_lines_of_the_documents(spark, small):
     assert any("All rights reserved." in d.text for d in docs) and all((got[d.doc_id] > 0) == any(x in d.text for x in lines) for d in docs)
 
 
+def common_words(a, b):
+    """Most words of ``a`` in order in ``b``."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b, 1):
+            new.append(max(row[j], new[j - 1], row[j - 1] + (x == y)))
+        row = new
+    return row[-1]
+
+
+def test_every_edit_of_a_template_is_found():
+    """One-word deletions, insertions and replacements, and each fifth word gone, against full alignment."""
+    for name, template in licenses.TEMPLATES:
+        words = licenses._WORD.findall(template.lower())
+        scanner = licenses.Scanner([(name, template)])
+        edits = [[*words[:i], *put, *words[i + cut :]] for i in range(len(words)) for put, cut in (((), 1), (("new",), 0), (("new",), 1))]
+        edits += [[w for j, w in enumerate(words) if j % 5 != r] for r in range(5)]
+        for edited in edits:
+            share = common_words(words, edited) / len(words)
+            got = scanner.scan("before it " + " ".join(edited) + " and after")
+            assert [m[2] for m in got] == ([round(share, 4)] if share >= licenses.MIN_COVERAGE else []), edited
+    scanner = licenses.Scanner(list(licenses.TEMPLATES))
+    for text, license in (("Released under MIT License", "MIT"), ("Released under the new MIT License", "MIT"), ("Licensed under Creative CC new BY 4.0", "CC-BY-4.0")):
+        assert license in {m[0] for m in scanner.scan(text)}
+
+
 # near-duplicates
 
 
