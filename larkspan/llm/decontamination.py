@@ -10,12 +10,14 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspan.llm.common import filter_slices, id_and_text, map_slices
+from larkspan.llm.common import durable, filter_slices, id_and_text, map_slices
 
 #: Edits allowed, as a share of an item's characters.
 MAX_ERROR_RATE = 0.08
@@ -161,7 +163,7 @@ def contamination(docs: DataFrame, items: DataFrame, rate: float = MAX_ERROR_RAT
     rows = id_and_text(docs, id_col, text_col)
     session = docs.sparkSession
 
-    def scan(block: list[tuple[object, str]]) -> DataFrame:
+    def scan(rows: DataFrame, block: list[tuple[object, str]], name: str, schema: str) -> DataFrame:
         shared = session.sparkContext.broadcast(pickle.dumps(block))
 
         def each():
@@ -169,18 +171,22 @@ def contamination(docs: DataFrame, items: DataFrame, rate: float = MAX_ERROR_RAT
 
             def step(part: pa.RecordBatch) -> dict:
                 found = [matcher.matches(t) for t in part.column(1).to_pylist()]
-                return {"doc_id": part.column(0), "matches": [[{"item_id": i, "distance": d, "begin": a, "end": b} for i, d, a, b in m] for m in found]}
+                return {name: part.column(0), "matches": [[{"item_id": i, "distance": d, "begin": a, "end": b} for i, d, a, b in m] for m in found]}
 
             return step
 
         return map_slices(rows, schema, each)
 
-    scans = [scan(b) for b in _blocks(items, item_col, item_text_col)] or [scan([])]
-    found = scans[0]
-    if len(scans) > 1:
-        from functools import reduce
-
-        found = reduce(DataFrame.unionAll, scans).groupBy("doc_id").agg(F.flatten(F.collect_list("matches")).alias("matches"))
+    blocks = _blocks(items, item_col, item_text_col)
+    block, more = next(blocks, []), next(blocks, None)
+    if more is None:
+        found = scan(rows, block, "doc_id", schema)
+    else:
+        # Rows get numbers that every scan sees alike; ids may be null or repeated.
+        numbered = durable(rows.withColumn("row", F.monotonically_increasing_id()))
+        scans = [scan(numbered.select("row", "text"), b, "row", schema.replace(f"doc_id {kind}", "row long")).where(F.size("matches") > 0) for b in chain([block, more], blocks)]
+        united = reduce(DataFrame.unionAll, scans).groupBy("row").agg(F.flatten(F.collect_list("matches")).alias("matches"))
+        found = numbered.select("row", "doc_id").join(united, "row", "left").withColumn("matches", F.coalesce("matches", F.array()))
     return found.select("doc_id", (F.size("matches") > 0).alias("contaminated"), F.array_sort("matches").alias("matches"))
 
 

@@ -135,6 +135,15 @@ def test_decontamination_rows(spark, odd, none, monkeypatch):
     assert left.columns == odd.columns and left.count() == len(ODD) - 4
 
 
+def test_blocks_of_items_change_no_row(spark, odd, monkeypatch):
+    items = spark.createDataFrame([(1, "seven eight nine ten eleven"), (2, "dolor sit amet consectetur lorem"), (3, "only where the id is null")], "item_id long, text string")
+    docs = odd.select("doc_id", "text").unionAll(spark.createDataFrame([(None, "only where the id is null"), (None, "another"), (7, "another")], "doc_id long, text string"))
+    found = lambda: Counter((str(r.doc_id), r.contaminated, str(r.matches)) for r in DC.contamination(docs, items).collect())
+    whole = found()
+    monkeypatch.setattr(DC, "BLOCK_CHARS", 10)  # one item a block
+    assert found() == whole and sum(whole.values()) == len(ODD) + 3
+
+
 def test_decontamination_query(spark, small):
     items = [DC.normalise(r.text) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
     docs = spark.read.parquet(f"{small}/documents.parquet").collect()
