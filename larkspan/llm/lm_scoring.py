@@ -17,10 +17,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspan.llm.common import durable, id_and_text, map_slices
+from larkspan.llm.common import MAX_BROADCAST_BYTES, durable, id_and_text, map_slices
 
-#: Bytes of a dictionary.
-DICTIONARY_BYTES = 65_536
+#: Least bytes of a dictionary, and counted bytes of the corpus for one byte of it beyond.
+DICTIONARY_BYTES, CORPUS_BYTES = 65_536, 1024
 LEVEL = 3
 #: Ids of in-domain documents are broadcast up to so many; beyond, joined by shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -49,10 +49,10 @@ def dictionary(counts: DataFrame, column: str, size: int = DICTIONARY_BYTES) ->
         least, room = r.step, room - r.bytes
         if room <= 0:
             break
-    rows = found.where(F.floor(F.log(saved) * 16) >= least).orderBy(saved.desc(), "word").select("word").limit(size // 3).collect()
+    rows = found.where(F.floor(F.log(saved) * 16) >= least).orderBy(saved.desc(), "word").select("word").limit(size // 3).toArrow().column(0)
     content, held = [], 0
     for r in rows:
-        piece = r.word.encode() + b" "
+        piece = r.as_py().encode() + b" "
         if held + len(piece) > size:
             break
         content.append(piece)
@@ -60,11 +60,12 @@ def dictionary(counts: DataFrame, column: str, size: int = DICTIONARY_BYTES) ->
     return b"".join(reversed(content))
 
 
-def dictionaries(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", good: Column | None = None, size: int = DICTIONARY_BYTES) -> tuple[bytes, bytes]:
+def dictionaries(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", good: Column | None = None, size: int | None = None) -> tuple[bytes, bytes]:
     """The in-domain and the general dictionary.
 
     In-domain are the documents that ``labels`` marks (``good``: quality = 1);
-    several rows of one id count as one mark.
+    several rows of one id count as one mark.  Their size follows the bytes of
+    the counted words unless given; what can't be broadcast is refused.
     """
     marked = labels.where(F.col("quality") == 1 if good is None else good).select(F.col(label_id).alias("_id")).where(F.col("_id").isNotNull()).distinct()
     few = marked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
@@ -72,6 +73,10 @@ def dictionaries(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     rows = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
     joined = rows.join(F.broadcast(marked) if few else marked, F.col("_doc") == F.col("_id"), "left").select("text", "_in")
     counts = durable(word_counts(joined, F.col("_in")).where("n > 1"))
+    if size is None:
+        size = max(DICTIONARY_BYTES, (counts.agg(F.sum(F.col("n") * (F.octet_length("word") + 1))).first()[0] or 0) // CORPUS_BYTES)
+    if 2 * size > MAX_BROADCAST_BYTES:
+        raise ValueError(f"the dictionaries have {2 * size} bytes")
     return dictionary(counts, "n_in", size), dictionary(counts, "n", size)
 
 
@@ -86,8 +91,15 @@ class Scorer:
             if not content:
                 return zstandard.ZstdCompressor(level=level, **options)
             data = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            data.precompute_compress(level=level)
-            return zstandard.ZstdCompressor(level=level, dict_data=data, **options)
+            if len(content) <= DICTIONARY_BYTES:
+                data.precompute_compress(level=level)
+                return zstandard.ZstdCompressor(level=level, dict_data=data, **options)
+            # Tables and window grow with the content, or its earlier words would be out of reach.
+            log = len(content).bit_length()
+            sizes = {"window_log": log + 1, "hash_log": max(17, log - 1), "chain_log": max(16, log - 2)}
+            params = zstandard.ZstdCompressionParameters.from_level(level, dict_size=len(content), **sizes, **options)
+            data.precompute_compress(compression_params=params)
+            return zstandard.ZstdCompressor(dict_data=data, compression_params=params)
 
         self.compressors = [compressor(c) for c in (in_domain, general, None)]
 

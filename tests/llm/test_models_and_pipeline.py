@@ -146,3 +146,15 @@ def test_pipeline(spark, small, odd, none, tmp_path):
         for _, stage in corpus_pipeline.STAGES:
             out = stage(spark, table, small)
             assert out.count() <= table.count()
+
+
+def test_dictionaries_grow_with_the_corpus(spark, monkeypatch):
+    from larkspan.llm import lm_scoring
+
+    docs = spark.createDataFrame([(i, " ".join(f"word{i * 500 + j:07d}" for j in range(1000))) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(20)], "doc_id long, quality int")
+    monkeypatch.setattr(lm_scoring, "CORPUS_BYTES", 2)
+    good, all_ = lm_scoring.dictionaries(docs, labels)
+    assert min(len(good), len(all_)) > lm_scoring.DICTIONARY_BYTES
+    rows = lm_scoring.score(docs, good, all_).collect()
+    assert len(rows) == 40 and all(0 < r.in_bits < 8 for r in rows)
