@@ -10,24 +10,26 @@ of about the cap, and every two blocks meet in a group of their own, so that no
 pair of a bucket is left out, and no task holds more than two blocks at a time,
 however many rows agree.  The comparisons of such a bucket grow with its square.
 
-Pairs within a bucket are checked by Hamming distance.  What is near goes on as
-an edge, and edges are verified by the exact Jaccard similarity of the shingle
-sets; classes are the connected components of verified edges.  Equal texts
-share one node from the start, so copies cost one row each.
-
-A row with many near neighbours sends only two edges at first, so a dense group
-costs edges in proportion to its rows.  Once classes are known, such rows are
-compared again, and every near pair across two classes is verified: no link is
-left out, and pairs within a class need no edge.
+Candidates are pairs within a bucket whose Hamming distance and numbers of
+shingles allow the similarity.  A bucket never emits its pairs: it sends a
+spanning forest of them, at most one edge a row, which connects the same rows.
+What the forests connect is a *group*, within which every pair is then settled
+exactly: the shingle sets of a group (of two blocks of one, if it is large) meet
+in one task, which counts the shingles that rows share by a matrix product and
+sends a spanning forest of the links it finds.  Classes are the connected
+components of those.  Equal texts share one node from the start, so copies cost
+one row each.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,10 +43,14 @@ BUCKET, CAP = 512, 4096
 MISS = 0.001
 #: Standard deviations of the distance of a pair just at the threshold that still count as near.
 SLACK = 3.5
-#: With more near rows than this in a bucket, a row first sends edges to the nearest and the least only.
-FEW = 8
+#: Up to so many rows of a group are compared one by one, not by a matrix.
+FEW = 12
+#: Rows, and shingles, of a block of a group; two blocks at most are compared with each other at once.
+GROUP_ROWS, GROUP_SHINGLES = 2048, 1 << 20
+#: Texts of so few shingles have bits that agree less often than those of large sets.
+SMALL = 32
 WORD_CACHE = 500_000
-#: Oversized buckets are broadcast up to so many; beyond, joined by shuffle.
+#: Oversized buckets and groups are broadcast up to so many; beyond, joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 _SEED = 20_240_607
 _SALTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
@@ -119,95 +125,142 @@ def plan(n: int, similarity: float = SIMILARITY, bucket: int = BUCKET, miss: flo
     return bits, tables, int(near)
 
 
+@functools.cache
+def small_agreement(similarity: float = SIMILARITY, largest: int = SMALL) -> float:
+    """The least share of agreeing bits of two sets of at most ``largest`` shingles and that similarity.
+
+    Majorities of few shingles tie, so their bits agree less often than those
+    of large sets.
+    """
+
+    def heads(n: int) -> list[float]:
+        return [math.comb(n, k) / 2**n for k in range(n + 1)]
+
+    least = agreement(similarity)
+    for b in range(1, largest + 1):
+        for a in range(math.ceil(similarity * b - 1e-9), b + 1):
+            both = math.ceil(similarity * (a + b) / (1 + similarity) - 1e-9)
+            if both > a:
+                continue
+            agree = 0.0
+            for c, pc in enumerate(heads(both)):
+                one = sum(p for k, p in enumerate(heads(a - both)) if 2 * (c + k) > a)
+                two = sum(p for k, p in enumerate(heads(b - both)) if 2 * (c + k) > b)
+                agree += pc * (one * two + (1 - one) * (1 - two))
+            least = min(least, agree)
+    return least
+
+
+def plan_small(bits: int, tables: int, near: int, similarity: float = SIMILARITY, miss: float = MISS) -> tuple[int, int]:
+    """Tables, and the largest near distance, for texts of few shingles."""
+    p = small_agreement(similarity)
+    more = math.ceil(math.log(miss) / math.log(1 - p**bits))
+    return max(tables, more), max(near, int(BITS * (1 - p) + SLACK * math.sqrt(BITS * p * (1 - p))))
+
+
 def _samples(tables: int) -> np.ndarray:
     rng = np.random.default_rng(_SEED)
     return np.stack([rng.permutation(BITS)[:64] for _ in range(tables)])
 
 
-def _table_rows(prints: DataFrame, bits: int, tables: int, counted: bool = False) -> DataFrame:
-    """A row per document and table: bucket (of one table), node, print, label; ``counted``: buckets only."""
-    samples, shift = _samples(tables), np.int64(64 - bits)
+def _table_rows(prints: DataFrame, bits: int, tables: int, more: int, counted: bool = False) -> DataFrame:
+    """A row per document and table: bucket (of one table), node, print, n; ``counted``: buckets only.
+
+    Texts of few shingles are in ``more`` tables.
+    """
+    samples, shift = _samples(more), np.int64(64 - bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                raw = np.frombuffer(b"".join(part.column(0).to_pylist()), np.uint8).reshape(-1, BITS // 8)
-                sampled = np.unpackbits(raw, axis=1)
-                for t in range(tables):
+                sampled = None
+                for t in range(more):
+                    if t in (0, tables):
+                        if t:
+                            part = part.filter(pc.less_equal(part.column(2), SMALL))
+                            if not part.num_rows:
+                                break
+                        raw = np.frombuffer(b"".join(part.column(0).to_pylist()), np.uint8).reshape(-1, BITS // 8)
+                        sampled = np.unpackbits(raw, axis=1)
                     key = np.ascontiguousarray(np.packbits(sampled[:, samples[t]], axis=1)).view(">u8").reshape(-1).astype(np.uint64) ^ np.uint64(1 << 63)
                     bucket = pa.array((key.view(np.int64) >> shift) + (np.int64(t) << np.int64(52)))
-                    yield pa.RecordBatch.from_arrays([bucket, *part.columns[: 0 if counted else 3]], names=["bucket", "print", "node", "label"][: 1 if counted else 4])
+                    yield pa.RecordBatch.from_arrays([bucket, *part.columns[: 0 if counted else 3]], names=["bucket", "print", "node", "n"][: 1 if counted else 4])
 
+    rows = prints.select("print", "node", "n")
     if counted:
-        return prints.select("print").mapInArrow(run, "bucket long")
-    return prints.select("print", "node", "label").mapInArrow(run, "bucket long, print binary, node long, label long")
+        return rows.mapInArrow(run, "bucket long")
+    return rows.mapInArrow(run, "bucket long, print binary, node long, n int")
 
 
-def _grouped_rows(prints: DataFrame, bits: int, tables: int, cap: int) -> DataFrame:
-    """The rows of all tables with their ``piece``: 0, or of an oversized bucket the two blocks that meet and the row's side.
+def _in_blocks(rows: DataFrame, key: str, large: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows with their ``piece``: 0, or of a key in ``large`` (key, blocks) the two blocks that meet and the row's side.
 
-    A row of a bucket of n blocks is in n groups, one with each block, its own included.
+    A row of a key of n blocks is in n groups, one with each block, its own included.
     """
-    rows = _table_rows(prints, bits, tables)
-    large = durable(_table_rows(prints, bits, tables, counted=True).groupBy("bucket").count().where(F.col("count") > cap).select("bucket", F.ceil(F.col("count") / cap).cast("int").alias("blocks")))
     n = large.limit(BROADCAST_ROWS + 1).count()
     if not n:
-        return rows.withColumn("piece", F.lit(0).cast("long"))
+        return rows.select(*columns, F.lit(0).cast("long").alias("piece"))
     own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")
-    met = rows.join(F.broadcast(large) if n <= BROADCAST_ROWS else large, "bucket", "left").withColumn("own", F.coalesce(own, F.lit(0)))
+    met = rows.join(F.broadcast(large) if n <= BROADCAST_ROWS else large, key, "left").withColumn("own", F.coalesce(own, F.lit(0)))
     each = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
     low, high = F.least("own", "other").cast("long"), F.greatest("own", "other").cast("long")
-    return each.select("bucket", "print", "node", "label", (F.shiftleft(low, 32) + F.shiftleft(high, 1) + (F.col("own") > F.col("other")).cast("long")).alias("piece"))
+    return each.select(*columns, (F.shiftleft(low, 32) + F.shiftleft(high, 1) + (F.col("own") > F.col("other")).cast("long")).alias("piece"))
 
 
-class _Buckets:
-    """Turns sorted rows of one partition into near pairs, a bucket or two blocks of one at a time.
+def _middle(pieces: np.ndarray) -> int | None:
+    """Where the second of two blocks begins; None for one block (or a whole key), compared with itself."""
+    first = int(pieces[0])
+    return None if first >> 32 == (first & 0xFFFFFFFF) >> 1 else int(np.searchsorted(pieces & 1, 1))
 
-    ``across``: only pairs of two labels, of which one row is marked by a
-    negative label, and all of those.
-    """
 
-    def __init__(self, near: int, few: int = FEW, across: bool = False) -> None:
-        self.near, self.few, self.across = near, few, across
+class _Forest:
+    """Joins rows; keeps the pairs that joined two sets."""
+
+    def __init__(self, n: int) -> None:
+        self.root, self.pairs = np.arange(n), []
+
+    def join(self, i: int, others: np.ndarray) -> None:
+        roots = self.root[others]
+        if (roots == self.root[i]).all():
+            return
+        for r, at in zip(*np.unique(roots, return_index=True)):
+            if r != self.root[i]:
+                self.pairs.append((int(others[at]), i))
+                self.root[self.root == r] = self.root[i]
+
+
+class _Buckets:
+    """Turns sorted rows of one partition into forests of near pairs, a bucket or two blocks of one at a time."""
+
+    def __init__(self, near: int, near_small: int, similarity: float) -> None:
+        self.near, self.near_small, self.similarity = near, near_small, similarity
         self.bucket = np.zeros(0, np.int64)
         self.piece = np.zeros(0, np.int64)
         self.node = np.zeros(0, np.int64)
         self.prints = np.zeros((0, 4), np.uint64)
-        self.label = np.zeros(0, np.int64)
+        self.n = np.zeros(0, np.int32)
 
-    def add(self, bucket: np.ndarray, piece: np.ndarray, node: np.ndarray, prints: np.ndarray, label: np.ndarray, final: bool) -> Iterator[np.ndarray]:
+    def add(self, bucket: np.ndarray, piece: np.ndarray, node: np.ndarray, prints: np.ndarray, n: np.ndarray, final: bool) -> Iterator[np.ndarray]:
         self.bucket, self.piece = np.concatenate([self.bucket, bucket]), np.concatenate([self.piece, piece])
         self.node, self.prints = np.concatenate([self.node, node]), np.concatenate([self.prints, prints])
-        self.label = np.concatenate([self.label, label])
+        self.n = np.concatenate([self.n, n])
         edges = np.flatnonzero((np.diff(self.bucket) != 0) | (np.diff(self.piece >> np.int64(1)) != 0)) + 1
         ends = [*edges.tolist(), *([len(self.bucket)] if final and len(self.bucket) else [])]
         start = 0
         for end in ends:
-            yield from self._group(start, end)
+            yield from self._pairs(start, end, _middle(self.piece[start:end]))
             start = end
         keep = slice(start, None)
-        self.bucket, self.piece, self.node, self.prints = self.bucket[keep], self.piece[keep], self.node[keep], self.prints[keep]
-        self.label = self.label[keep]
-
-    def _group(self, start: int, end: int) -> Iterator[np.ndarray]:
-        """Two blocks are compared with each other, one (or a whole bucket) with itself; rows are sorted by side and node."""
-        piece = int(self.piece[start])
-        if piece >> 32 == (piece & 0xFFFFFFFF) >> 1:
-            yield from self._pairs(start, end, None)
-        else:
-            yield from self._pairs(start, end, int(np.searchsorted(self.piece[start:end] & 1, 1)))
+        self.bucket, self.piece, self.node, self.prints, self.n = self.bucket[keep], self.piece[keep], self.node[keep], self.prints[keep], self.n[keep]
 
     def _pairs(self, start: int, end: int, middle: int | None) -> Iterator[np.ndarray]:
-        """Near pairs of rows before and from ``middle`` on, or of all rows."""
+        """A forest of the near pairs of rows before and from ``middle`` on, or of all rows."""
         size = end - start
         if size < 2:
             return
-        node, prints, label = self.node[start:end], self.prints[start:end], np.abs(self.label[start:end])
-        dense = self.label[start:end] < 0
-        if self.across and not dense.any():
-            return
-        out = []
+        node, prints, n = self.node[start:end], self.prints[start:end], self.n[start:end]
+        forest = _Forest(size)
         for at in range(1 if middle is None else middle, size, 256):
             stop = min(at + 256, size)
             limit = stop if middle is None else middle
@@ -218,24 +271,24 @@ class _Buckets:
                 distance += np.bitwise_count(prints[at:stop, w][:, None] ^ prints[None, :limit, w])
             if middle is None:
                 distance[np.arange(limit)[None, :] >= np.arange(at, stop)[:, None]] = 9999
-            if self.across:
-                distance[label[at:stop, None] == label[None, :limit]] = 9999
-                distance[~(dense[at:stop, None] | dense[None, :limit])] = 9999
-            for i in np.flatnonzero(distance.min(axis=1) <= self.near):
-                close, own = np.flatnonzero(distance[i] <= self.near), node[at + i]
-                ends = node[close]
-                if len(close) > self.few and not self.across:  # the row itself as a mark: there was more
-                    ends = np.unique([ends[0], ends[distance[i][close].argmin()], own])
-                out.append(np.stack([np.minimum(ends, own), np.maximum(ends, own)], axis=1))
-        if out:
-            yield np.concatenate(out)
-
-
-def _near_edges(prints: DataFrame, bits: int, tables: int, near: int, cap: int, few: int, across: bool = False) -> DataFrame:
-    """Near pairs (a, b); a pair of one node with itself marks a row that has more of them."""
+            for i in np.flatnonzero(distance.min(axis=1) <= self.near_small):
+                close = np.flatnonzero(distance[i] <= self.near_small)
+                low, high = np.minimum(n[close], n[at + i]), np.maximum(n[close], n[at + i])
+                far = np.where(high <= SMALL, self.near_small, self.near)
+                close = close[(distance[i][close] <= far) & (low >= self.similarity * high)]
+                if len(close):
+                    forest.join(at + i, close)
+        if forest.pairs:
+            found = node[np.array(forest.pairs)]
+            yield np.stack([found.min(axis=1), found.max(axis=1)], axis=1)
+
+
+def _near_edges(prints: DataFrame, bits: int, tables: int, near: int, cap: int, similarity: float) -> DataFrame:
+    """Pairs (a, b) that connect what near pairs connect."""
+    more, near_small = plan_small(bits, tables, near, similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets = _Buckets(near, few, across)
+        buckets = _Buckets(near, near_small, similarity)
 
         def made(found: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
             for e in found:
@@ -246,11 +299,14 @@ def _near_edges(prints: DataFrame, bits: int, tables: int, near: int, cap: int,
                 raw = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(-1, 4)
                 yield from made(buckets.add(batch.column(0).to_numpy(), batch.column(4).to_numpy(), batch.column(2).to_numpy(), raw, batch.column(3).to_numpy(), False))
         none = np.zeros(0, np.int64)
-        yield from made(buckets.add(none, none, none, np.zeros((0, 4), np.uint64), none, True))
+        yield from made(buckets.add(none, none, none, np.zeros((0, 4), np.uint64), none.astype(np.int32), True))
 
+    # The partitions only spread the buckets: each bucket, or pair of blocks, is whole in one of them.
     parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = _grouped_rows(prints, bits, tables, cap).repartition(parts, "bucket", F.shiftright("piece", 1)).sortWithinPartitions("bucket", "piece", "node")
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    counts = _table_rows(prints, bits, tables, more, counted=True).groupBy("bucket").count()
+    large = durable(counts.where(F.col("count") > cap).select("bucket", F.ceil(F.col("count") / cap).cast("int").alias("blocks")))
+    rows = _in_blocks(_table_rows(prints, bits, tables, more), "bucket", large, ["bucket", "print", "node", "n"])
+    return rows.repartition(parts, "bucket", F.shiftright("piece", 1)).sortWithinPartitions("bucket", "piece", "node").mapInArrow(run, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -259,7 +315,8 @@ def components(edges: DataFrame) -> DataFrame:
     Labels spread along edges and jump along labels until none changes; every
     round is cut off from the one before.
     """
-    both = durable(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    ways = F.array(F.struct(F.col("a").alias("a"), F.col("b").alias("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = durable(edges.select(F.inline(ways)).distinct())
     labels = durable(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")))
     while True:
         seen = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("other"))
@@ -271,56 +328,116 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _verified(edges: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: float, width: int) -> DataFrame:
-    """The edges whose texts have that Jaccard similarity, by their shingle sets."""
-    ends = edges.select(F.col("a").alias("node")).unionAll(edges.select(F.col("b").alias("node"))).distinct()
-    wanted = ends.join(nodes, "node").select(F.col("first").alias("doc_id"), "node")
-    texts = docs.join(wanted, "doc_id").where(F.xxhash64("text") == F.col("node")).select("node", "text")
+def shared_shingles(sets: list[np.ndarray], middle: int | None = None) -> np.ndarray:
+    """How many shingles rows share: of rows before ``middle`` (or all) with rows from there on (or all).
+
+    Shingles of few rows are counted pair by pair, the others by products of
+    0/1 matrices of some columns at a time, so memory is bounded by the rows.
+    """
+    n = len(sets)
+    left, right, first = (middle, n - middle, middle) if middle is not None else (n, n, 0)
+    values = np.concatenate(sets)
+    row = np.repeat(np.arange(n), [len(s) for s in sets])
+    order = np.argsort(values, kind="stable")  # equal shingles in order of rows
+    values, row = values[order], row[order]
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    heads = np.flatnonzero(new)
+    counts = np.diff(np.append(heads, len(values)))
+    out = np.zeros((left, right), np.float32)
+    few = max(4, n // 64)
+    rare = np.repeat((counts > 1) & (counts <= few), counts)
+    ids, at = np.repeat(np.arange(len(heads)), counts)[rare], row[rare]
+    for d in range(1, few):
+        one, two = at[:-d], at[d:]
+        hit = ids[:-d] == ids[d:]
+        if not hit.any():
+            break
+        if middle is not None:
+            hit &= (one < middle) & (two >= middle)
+        np.add.at(out, (one[hit], two[hit] - first), 1)
+    common = np.flatnonzero(counts > few)
+    for k in range(0, len(common), 2048):
+        some = common[k : k + 2048]
+        block = np.zeros((n, len(some)), np.float32)
+        for c, g in enumerate(some.tolist()):
+            block[row[heads[g] : heads[g] + counts[g]], c] = 1
+        out += block[:left] @ block[first:].T
+    return out
+
+
+def linked(sets: list[np.ndarray], middle: int | None = None, similarity: float = SIMILARITY, few: int = FEW) -> list[tuple[int, int]]:
+    """Pairs of that Jaccard similarity that connect all rows which such pairs connect.
+
+    Pairs are of a row before and one from ``middle`` on, or of any two rows.
+    """
+    n, forest = len(sets), _Forest(len(sets))
+    if n <= few:
+        for i in range(1 if middle is None else middle, n):
+            for j in range(i if middle is None else middle):
+                if forest.root[i] != forest.root[j] and jaccard(sets[i], sets[j]) >= similarity:
+                    forest.join(i, np.array([j]))
+        return forest.pairs
+    if middle in (0, n):
+        return []
+    for i in range(1 if middle is None else middle, n):  # near copies of one text need no matrix
+        if jaccard(sets[i], sets[0]) >= similarity:
+            forest.join(i, np.array([0]))
+    if middle is not None or len(forest.pairs) < n - 1:
+        sizes = np.array([len(s) for s in sets], np.float64)
+        both = shared_shingles(sets, middle)
+        for i in range(1 if middle is None else middle, n):
+            limit = i if middle is None else middle
+            with_i = both[:limit, i - (middle or 0)].astype(np.float64)
+            close = np.flatnonzero(with_i / (sizes[:limit] + sizes[i] - with_i) >= similarity)
+            if len(close):
+                forest.join(i, close)
+    return forest.pairs
+
+
+def _links(groups: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: float, width: int, few: int, rows: int, shingles: int) -> DataFrame:
+    """Links (a, b) that connect what pairs of that similarity within ``groups`` (node, label) connect."""
+    members = durable(groups.join(nodes.select("node", "first", "n_shingles"), "node"))
+    sizes = members.groupBy("label").agg(F.greatest(F.ceil(F.count(F.lit(1)) / rows), F.ceil(F.sum("n_shingles") / shingles)).cast("int").alias("blocks"))
+    large = durable(sizes.where("blocks > 1"))
+    wanted = members.select(F.col("first").alias("doc_id"), "node", "label")
+    texts = docs.join(wanted, "doc_id").where(F.xxhash64("text") == F.col("node")).select("node", "label", "text")
 
     def pack():
         import zstandard
 
         squeeze = zstandard.ZstdCompressor(level=3).compress
-        return lambda part: {"node": part.column(0), "packed": [squeeze(t.encode()) for t in part.column(1).to_pylist()]}
+        return lambda part: {"node": part.column(0), "label": part.column(1), "packed": [squeeze(t.encode()) for t in part.column(2).to_pylist()]}
 
-    packed = durable(map_slices(texts, "node long, packed binary", pack).dropDuplicates(["node"]))
+    packed = map_slices(texts, "node long, label long, packed binary", pack).dropDuplicates(["node"])
 
-    def check():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        expand, shingles = zstandard.ZstdDecompressor().decompress, Shingles(width)
-        kept: dict[int, np.ndarray] = {}
-
-        def of(node: int, blob: bytes) -> np.ndarray:
-            found = kept.get(node)
-            if found is None:
-                if len(kept) >= 64:
-                    kept.clear()
-                found = kept[node] = shingles.set(expand(blob).decode())
-            return found
+        expand, make = zstandard.ZstdDecompressor().decompress, Shingles(width)
+        key, held = None, []
 
-        def step(part: pa.RecordBatch) -> dict:
-            a, b, x, y = (part.column(i).to_pylist() for i in range(4))
-            return {"a": a, "b": b, "j": [jaccard(of(p, u), of(q, v)) for p, q, u, v in zip(a, b, x, y)]}
+        def found() -> Iterator[pa.RecordBatch]:
+            pairs = linked([x[2] for x in held], _middle(np.array([x[0] for x in held])), similarity, few) if len(held) > 1 else []
+            if pairs:
+                a, b = zip(*(sorted((held[i][1], held[j][1])) for i, j in pairs))
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-        return step
-
-    pairs = edges.join(packed.select(F.col("node").alias("a"), F.col("packed").alias("x")), "a").join(packed.select(F.col("node").alias("b"), F.col("packed").alias("text")), "b")
-    return map_slices(pairs.select("a", "b", "x", "text"), "a long, b long, j double", check).where(F.col("j") >= similarity)
+        for batch in batches:
+            for label, piece, node, blob in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != (label, piece >> 1):
+                    yield from found()
+                    key, held = (label, piece >> 1), []
+                held.append((piece, node, make.set(expand(blob).decode())))
+        yield from found()
 
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = _in_blocks(packed, "label", large, ["label", "node", "packed"]).select("label", "piece", "node", "packed")
+    return placed.repartition(parts, "label", F.shiftright("piece", 1)).sortWithinPartitions("label", "piece", "node").mapInArrow(run, "a long, b long")
 
-def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, width: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET, cap: int = CAP, few: int = FEW) -> DataFrame:
-    """One row per document: doc_id, class_id, n_shingles.
 
-    ``class_id`` is the least doc_id of the documents linked to this one,
-    directly or through others, by equal texts or by shingle sets of at least
-    that Jaccard similarity.  Words are separated by white space; a text of
-    fewer than ``width`` words is one shingle, one without words is only like
-    equal texts; a null text is the empty one.  A row with a null id is kept
-    with a null class and links nothing.  Repeated rows share their class.
-    Other columns are ignored; an empty table gives an empty result.  Equal
-    texts are told by their 64-bit hashes.
-    """
+def _classes(docs: DataFrame, similarity: float, width: int, id_col: str, text_col: str, bucket: int = BUCKET, cap: int = CAP, few: int = FEW, block_rows: int = GROUP_ROWS, block_shingles: int = GROUP_SHINGLES) -> DataFrame:
+    """A row per document: doc_id, node (hash of its text), n_shingles, class (a node), class_id."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
 
@@ -336,34 +453,43 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, widt
     made = durable(map_slices(rows.select("doc_id", F.xxhash64("text").alias("node"), "text"), f"doc_id {kind}, node long, n_shingles long, print binary", each))
     known = made.where(F.col("doc_id").isNotNull())
     nodes = durable(known.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("print").alias("print"), F.max("n_shingles").alias("n_shingles")))
-    prints = nodes.where("n_shingles > 0").select("node", "print")
+    prints = nodes.where("n_shingles > 0").select("node", "print", F.col("n_shingles").cast("int").alias("n"))
     bits, tables, near = plan(prints.count(), similarity, bucket)
-    found = durable(_near_edges(prints.withColumn("label", F.lit(0).cast("long")), bits, tables, near, cap, few))
-    edges, dense = found.where("a <> b"), found.where("a = b").select(F.col("a").alias("node"))
-    firsts = nodes.select("node", "first")
-    sure = durable(_verified(edges, rows, firsts, similarity, width).select("a", "b"))
-    labels = components(sure)
-    if dense.limit(1).count():
-        # Labels by hash: negative for rows that had more near neighbours than they sent.
-        label = F.xxhash64(F.coalesce("label", "node")).bitwiseAND(F.lit(2**62 - 1)) + 1
-        marked = prints.join(labels, "node", "left").join(dense.withColumn("dense", F.lit(True)), "node", "left")
-        again = marked.select("node", "print", F.when(F.col("dense"), -label).otherwise(label).alias("label"))
-        rest = durable(_near_edges(again, bits, tables, near, cap, few, across=True).join(edges, ["a", "b"], "left_anti"))
-        if rest.limit(1).count():
-            sure = durable(sure.unionAll(_verified(rest, rows, firsts, similarity, width).select("a", "b")))
-            labels = components(sure)
+    groups = components(_near_edges(prints, bits, tables, near, cap, similarity))
+    labels = components(_links(groups, rows, nodes, similarity, width, few, block_rows, block_shingles))
     least = labels.join(nodes.select("node", "first"), "node").groupBy("label").agg(F.min("first").alias("class_id"))
-    classes = labels.join(least, "label").select("node", "class_id")
-    of = nodes.select("node", "first").join(classes, "node", "left").select("node", F.coalesce("class_id", "first").alias("class_id"))
-    return made.select("doc_id", "node", "n_shingles").join(of, "node", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"), "n_shingles")
+    classes = labels.join(least, "label")
+    of = nodes.select("node", "first").join(classes, "node", "left").select("node", F.coalesce("label", "node").alias("class"), F.coalesce("class_id", "first").alias("class_id"))
+    return made.select("doc_id", "node", "n_shingles").join(of, "node", "left")
+
+
+def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, width: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
+    """One row per document: doc_id, class_id, n_shingles.
+
+    ``class_id`` is the least doc_id of the documents linked to this one,
+    directly or through others, by equal texts or by shingle sets of at least
+    that Jaccard similarity.  Words are separated by white space; a text of
+    fewer than ``width`` words is one shingle, one without words is only like
+    equal texts; a null text is the empty one.  A row with a null id is kept
+    with a null class and links nothing.  Repeated rows share their class.
+    Other columns are ignored; an empty table gives an empty result.  Equal
+    texts are told by their 64-bit hashes.
+    """
+    found = _classes(docs, similarity, width, id_col, text_col, **options)
+    return found.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"), "n_shingles")
 
 
 def one_of_each_class(docs: DataFrame, similarity: float = SIMILARITY, width: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, all columns kept, that are the least of their class.
 
-    Of rows with one id one stays; rows with a null id all stay.
+    Of a class the least id stays; where several rows have it, that of the
+    text of least 64-bit hash, and one of rows that have both in common.  Rows
+    of one id with texts that aren't alike are in classes of their own, and
+    each stays if it is the least of its class.  Rows with a null id all stay.
     """
-    classes = near_duplicate_classes(docs, similarity, width, id_col, text_col)
-    stay = durable(classes.where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias(id_col)).distinct())
-    kept = docs.join(stay, id_col, "left_semi").dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    classes = _classes(docs, similarity, width, id_col, text_col)
+    stay = durable(classes.where("doc_id is not null").groupBy("class").agg(F.min(F.struct("doc_id", "node")).alias("m")).select("m.*"))
+    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("doc_id"), key.alias("node"))
+    kept = marked.where("doc_id is not null").join(stay, ["doc_id", "node"], "left_semi").dropDuplicates(["doc_id", "node"])
+    return kept.select("row.*").unionByName(docs.where(F.col(id_col).isNull()))

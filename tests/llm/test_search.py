@@ -307,3 +307,99 @@ def test_plan_keeps_the_recall():
         bits, tables, near = near_duplicates.plan(n)
         p = near_duplicates.agreement(0.8)
         assert (1 - p**bits) ** tables <= near_duplicates.MISS and n / 2**bits <= near_duplicates.BUCKET and near < 80
+
+
+def at_the_threshold(pairs, low=0.8, high=0.84, seed=5):
+    """Pairs of texts, unlike all others, of a Jaccard similarity from ``low`` to ``high``."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    s, docs = near_duplicates.Shingles(), []
+    while len(docs) < 2 * pairs:
+        one = [word() for _ in range(rng.randint(8, 160))]
+        two = list(one)
+        for _ in range(rng.randint(1, 4)):
+            two[rng.randrange(len(two))] = word()
+        if rng.random() < 0.5:
+            two = one[: int(len(one) * rng.uniform(0.8, 1)) + 1]
+        if low <= near_duplicates.jaccard(s.set(" ".join(one)), s.set(" ".join(two))) <= high:
+            docs += [(len(docs), " ".join(one)), (len(docs) + 1, " ".join(two))]
+    return docs
+
+
+@pytest.mark.parametrize("partitions", [1, 4, 32, 200])
+def test_recall_at_the_threshold_whatever_the_partitions(spark, partitions):
+    docs = at_the_threshold(300)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        classes = {r.doc_id: r.class_id for r in near_duplicates.near_duplicate_classes(frame(spark, docs), bucket=300).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert all(classes[i] in (i, i - 1) for i in classes) and sum(classes[i + 1] == i for i in range(0, 600, 2)) >= 0.99 * 300
+
+
+def test_recall_of_texts_of_few_words(spark):
+    """Sets of 4 to 12 shingles, of which the larger has one or two more; ties make their bits agree less."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    docs = []
+    for i in range(0, 1600, 2):
+        n = rng.choice([4, 5, 8, 9, 10, 12])
+        text = [word() for _ in range(n + 4)]
+        docs += [(i, " ".join(text)), (i + 1, " ".join([*text, *(word() for _ in range(n // 4))]))]
+    classes = {r.doc_id: r.class_id for r in near_duplicates.near_duplicate_classes(frame(spark, docs), bucket=64).collect()}
+    assert sum(classes[i + 1] == i for i in range(0, 1600, 2)) >= 0.995 * 800 and all(classes[i] in (i, i - 1) for i in classes)
+
+
+def test_no_more_edges_than_rows_in_a_table(spark):
+    """Variants of one text under the threshold: forests, not pairs, leave the buckets and the groups."""
+    rng = random.Random(3)
+    base = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(150)]
+    edges = {}
+    for n in (150, 300, 600):
+        docs = []
+        for i in range(n):
+            text = list(base)
+            for at in rng.sample(range(150), 5):
+                text[at] = f"new{rng.randrange(10**6)}"
+            docs.append((i, " ".join(text)))
+        s = near_duplicates.Shingles()
+        rows = [(hash_, s.fingerprint(x), len(x)) for hash_, (_, t) in enumerate(docs) for x in [s.set(t)]]
+        prints = spark.createDataFrame(rows, "node long, print binary, n int")
+        edges[n] = near_duplicates._near_edges(prints, 1, 4, 58, 4096, 0.8).count()
+        assert edges[n] <= 8 * n
+    assert edges[600] < 3 * edges[300] < 9 * edges[150]
+    got = Counter((str(r.doc_id), str(r.class_id)) for r in near_duplicates.near_duplicate_classes(frame(spark, docs[:200])).collect())
+    assert got == brute_classes(docs[:200])
+
+
+@pytest.mark.parametrize("block_rows", [16, 2048])
+def test_groups_in_blocks_lose_no_link(spark, block_rows):
+    rng = random.Random(6)
+    base = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(120)]
+    docs = []
+    for i in range(150):
+        text = list(base)
+        for at in rng.sample(range(120), rng.choice([1, 2, 3, 3, 4])):
+            text[at] = f"new{rng.randrange(10**6)}"
+        docs.append((i, " ".join(text)))
+    got = Counter((str(r.doc_id), str(r.class_id)) for r in near_duplicates.near_duplicate_classes(frame(spark, docs), few=0, block_rows=block_rows).collect())
+    assert got == brute_classes(docs) and 1 < len({c for _, c in got}) < 150
+
+
+@pytest.mark.parametrize("middle", [None, 30])
+def test_shared_shingles_are_counted_exactly(middle):
+    rng = random.Random(2)
+    sets = [np.unique(np.array([rng.randrange(60 if rng.random() < 0.5 else 3000) for _ in range(rng.randint(1, 80))], np.uint64)) for _ in range(400)]
+    got = near_duplicates.shared_shingles(sets, middle)
+    left, right = (sets, sets) if middle is None else (sets[:middle], sets[middle:])
+    for i, a in enumerate(left):
+        for j, b in enumerate(right):
+            if middle is not None or i < j:
+                assert got[i, j] == len(np.intersect1d(a, b)), (i, j)
+
+
+def test_rows_of_one_id_with_unlike_texts_both_stay(spark):
+    docs = [(1, "alpha beta gamma delta epsilon zeta eta theta"), (1, "one two three four five six seven eight nine"), (2, "one two three four five six seven eight nine"), (3, "alpha beta gamma delta epsilon zeta eta theta"), (1, "one two three four five six seven eight nine")]
+    kept = Counter((r.doc_id, r.text[:3]) for r in near_duplicates.one_of_each_class(frame(spark, docs)).collect())
+    assert kept == {(1, "alp"): 1, (1, "one"): 1}
