@@ -18,7 +18,8 @@ equal places, so documents can only share a window if they share its anchor.
 3. What was found goes back to the batches, which cut it out.
 
 An anchor that very many batches share would draw all their stretches into one
-bucket; its windows are sent one by one instead, spread by their own hashes.
+bucket; its windows are sent one by one instead, spread by their own hashes, and
+folded in shares of the batches, so that of equal windows a few reach the bucket.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ from larkspan.llm.common import durable, slices
 
 LENGTH, GRAM = 50, 16
 #: Bytes of text in a batch, and text per bucket.
-BATCH_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
+BATCH_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
 #: Suffixes of the index's smallest level.
 LEVEL = 1 << 15
 #: An anchor in more batches than this has its windows spread one by one.
@@ -56,12 +57,58 @@ def gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
     padded = np.concatenate([data, np.zeros(gram, np.uint8)])
     n = len(data)
     words = np.ndarray((n + gram - 8,), np.uint64, padded, strides=(1,))
-    whole = _mix(words[:n] + np.uint64(0x9E3779B97F4A7C15))
+    whole = words[:n] * np.uint64(0x9E3779B97F4A7C15)
+    other = np.empty(n, np.uint64)
     for at in range(8, gram, 8):
-        whole = _mix(whole * np.uint64(3) + words[at : at + n])
+        np.right_shift(whole, np.uint64(32), out=other)
+        whole ^= other
+        whole += words[at : at + n]
+        whole *= np.uint64(0xBF58476D1CE4E5B9)
+    np.right_shift(whole, np.uint64(29), out=other)
+    whole ^= other
+    whole *= np.uint64(0x94D049BB133111EB)
+    np.right_shift(whole, np.uint64(32), out=other)
+    whole ^= other
     return whole
 
 
+def string_hashes(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the strings data[begin : begin + size], each of 8 bytes at least."""
+    words = np.ndarray((max(0, len(data) - 7),), np.uint64, np.ascontiguousarray(data), strides=(1,))
+    out = _mix(words[begin + size - 8] + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    live, at = np.arange(len(begin)), 0
+    while len(live := live[size[live] >= at + 8]):
+        out[live] = _mix(out[live] * np.uint64(3) + words[begin[live] + at])
+        at += 8
+    return out
+
+
+def _bytes_of(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The strings data[begin : begin + size] back to back."""
+    ends = np.cumsum(size)
+    return data[np.repeat(begin - ends + size, size) + np.arange(ends[-1])] if len(size) else data[:0]
+
+
+def _earlier(data: np.ndarray, begin: np.ndarray, size: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Of strings in order of their documents, those that a smaller document has too.
+
+    Strings of one hash are compared byte by byte with the first of them.
+    """
+    if not len(begin):
+        return np.zeros(0, bool)
+    _, first, same = np.unique(string_hashes(data, begin, size), return_index=True, return_inverse=True)
+    head = first[same]
+    out = (doc[head] < doc) & (size[head] == size)
+    at = np.flatnonzero(out)
+    for k in range(0, len(at), 1 << 15):
+        own = at[k : k + (1 << 15)]
+        n = size[own]
+        unlike = _bytes_of(data, begin[own], n) != _bytes_of(data, begin[head[own]], n)
+        if unlike.any():
+            out[own[np.unique(np.searchsorted(np.cumsum(n), np.flatnonzero(unlike), "right"))]] = False
+    return out
+
+
 def anchors(data: np.ndarray, starts: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Maximal runs of windows with one anchor: (hash, first window, last window, document) of each.
 
@@ -75,25 +122,28 @@ def anchors(data: np.ndarray, starts: np.ndarray, length: int = LENGTH, gram: in
     least = gram_hashes(data, gram)
     span, reach = 1, length - gram + 1
     while 2 * span <= reach:
-        least[:-span] = np.minimum(least[:-span], least[span:])
+        np.minimum(least[:-span], least[span:], out=least[:-span])
         span *= 2
     if span < reach:
-        least[: span - reach] = np.minimum(least[: span - reach], least[reach - span :])
-    doc = np.repeat(np.arange(len(sizes)), sizes)
-    inside = np.arange(len(data)) + length <= starts[1:][doc]
-    windows = np.flatnonzero(inside)
-    value, owner = least[windows], doc[windows]
-    new = np.ones(len(windows), bool)
-    new[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
+        np.minimum(least[: span - reach], least[reach - span :], out=least[: span - reach])
+    ends = starts[1:]
+    outside = np.zeros(len(data) + 1, np.int32)
+    np.add.at(outside, np.maximum(starts[:-1], ends - length + 1), 1)
+    np.add.at(outside, ends, -1)
+    new = np.ones(len(data), bool)
+    np.not_equal(least[1:], least[:-1], out=new[1:])
+    new[starts[:-1][sizes > 0]] = True
+    new &= np.cumsum(outside[:-1], dtype=np.int32) == 0
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(windows)) - 1
-    return value[first], windows[first], windows[last], owner[first]
+    owner = np.searchsorted(starts, first, "right") - 1
+    last = np.minimum(np.append(first[1:] - 1, len(data)), ends[owner] - length)
+    return least[first], first, last, owner
 
 
-def _ids(batch: pa.RecordBatch, id_col: str) -> np.ndarray:
-    """Ids as integers; null ids as the largest, which has nothing after it."""
+def _ids(batch: pa.RecordBatch, id_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids as integers (null: 0), and which are not null."""
     column = batch.column(batch.schema.get_field_index(id_col))
-    return pc.fill_null(pc.cast(column, pa.int64()), 2**63 - 1).to_numpy(zero_copy_only=False)
+    return pc.fill_null(pc.cast(column, pa.int64()), 0).to_numpy(zero_copy_only=False), pc.is_valid(column).to_numpy(zero_copy_only=False)
 
 
 def _texts(batch: pa.RecordBatch, text_col: str) -> tuple[np.ndarray, np.ndarray]:
@@ -209,14 +259,14 @@ def _shared_anchors(pdf: pd.DataFrame, hot: int) -> pd.DataFrame:
         keep = n > 1
         keep[1:] &= part[1:] != part[:-1]  # sent twice by one batch
         if keep.any():
-            rows.append((batch, pdf["bucket"].iloc[0], _squeeze(np.int32([keep.sum()]), part[keep], n[keep] > hot)))
-    return pd.DataFrame(rows, columns=["batch", "bucket", "blob"])
+            rows.append((batch, pdf["bucket"].iloc[0], bool((n[keep] > hot).any()), _squeeze(np.int32([keep.sum()]), part[keep], n[keep] > hot)))
+    return pd.DataFrame(rows, columns=["batch", "bucket", "hot", "blob"])
 
 
 def _stretches(batch: int, payload: bytes, answers: list[tuple[int, bytes]], id_col: str, text_col: str, length: int, gram: int, buckets: int) -> tuple[list[tuple[int, bytes]], bytes | None]:
     """What a batch sends to the buckets, and the runs of windows settled in it."""
     rows = _open(payload)
-    ids = _ids(rows, id_col)
+    ids, has_id = _ids(rows, id_col)
     data, starts = _texts(rows, text_col)
     value, first, last, owner = anchors(data, starts, length, gram)
     bucket, low = _place(value, buckets)
@@ -232,95 +282,120 @@ def _stretches(batch: int, payload: bytes, answers: list[tuple[int, bytes]], id_
         at[at == n] = 0
         hit = shared[at] == low[mine]
         wanted[mine], hot[mine] = hit, hit & busy[at]
-    wanted &= ids[owner] != 2**63 - 1
+    wanted &= has_id[owner]
     chosen = np.flatnonzero(wanted)
-    chosen = chosen[np.argsort(ids[owner[chosen]], kind="stable")]
-    raw = data.tobytes()
-    least: dict[bytes, int] = {}
-    sent: dict[int, list[tuple[int, int, int, bytes]]] = {}
-    settled: list[tuple[int, int, int]] = []
-    import xxhash
-
-    for k in chosen.tolist():
-        row, a, b = int(owner[k]), int(first[k]), int(last[k])
-        doc, begin = int(ids[row]), int(starts[row])
-        pieces = [(a, b)] if not hot[k] else [(p, p) for p in range(a, b + 1)]
-        for p, q in pieces:
-            text = raw[p : q + length]
-            if least.setdefault(text, doc) < doc:
-                settled.append((row, p - begin, q - p + 1))
-            else:
-                to = int(bucket[k]) if not hot[k] else xxhash.xxh64_intdigest(text) % buckets
-                sent.setdefault(to, []).append((doc, row, p - begin, text))
+    p, q, to, busy = first[chosen], last[chosen], bucket[chosen], hot[chosen]
+    if busy.any():  # windows one by one
+        n = np.where(busy, q - p + 1, 1)
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        chosen, busy, to = np.repeat(chosen, n), np.repeat(busy, n), np.repeat(to, n)
+        p = np.repeat(p, n) + step
+        q = np.where(busy, p, np.repeat(q, n))
+        to[busy] = -1
+    row = owner[chosen]
+    order = np.argsort(ids[row], kind="stable")
+    p, q, to, row = p[order], q[order], to[order], row[order]
+    size = q - p + length
+    settled = _earlier(data, p, size, ids[row])
+    if (spread := (to < 0) & ~settled).any():
+        to[spread] = (string_hashes(data, p[spread], size[spread]) % np.uint64(buckets)).astype(np.int64) + buckets
+    sent, own = np.flatnonzero(~settled), np.flatnonzero(settled)
+    at = p - starts[row]
+    return _entries(to[sent], ids[row[sent]], row[sent], at[sent], size[sent], data, p[sent]), _runs(row[own], at[own], (q - p + 1)[own])
+
+
+def _runs(row: np.ndarray, at: np.ndarray, windows: np.ndarray) -> bytes | None:
+    """Repeated runs of windows of a batch."""
+    return _squeeze(np.stack([row, at, windows], axis=1).astype(np.int32)) if len(row) else None
+
+
+def _entries(to: np.ndarray, doc: np.ndarray, row: np.ndarray, at: np.ndarray, size: np.ndarray, data: np.ndarray, begin: np.ndarray) -> list[tuple[int, bytes]]:
+    """Stretches by the bucket they go to; they are in order of their documents."""
     out = []
-    for to, entries in sent.items():
-        docs, rows_, at, texts = zip(*entries)
-        steps = np.diff(np.array(docs, np.int64), prepend=0)  # in order of ids: small steps
-        out.append((to, _squeeze(np.int32([len(entries)]), steps, np.array(rows_, np.int32), np.array(at, np.int32), np.array([len(t) for t in texts], np.int32), np.frombuffer(b"".join(texts), np.uint8))))
-    return out, _squeeze(np.array(settled, np.int32)) if settled else None
-
+    order = np.argsort(to, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(to[order])) + 1):
+        if len(part):
+            steps = np.diff(doc[part], prepend=0)  # in order of ids: small steps
+            out.append((int(to[part[0]]), _squeeze(np.int32([len(part)]), steps, *(x[part].astype(np.int32) for x in (row, at, size)), _bytes_of(data, begin[part], size[part]))))
+    return out
 
-def _indexed(pdf: pd.DataFrame, length: int, level: int) -> pd.DataFrame:
-    """A bucket's repeats: per batch the runs of windows that a smaller document has.
 
-    Buckets below zero hold runs that batches have settled themselves.
-    """
-    if pdf["bucket"].iloc[0] < 0:
-        return pdf[["batch", "blob"]]
+def _opened(pdf: pd.DataFrame) -> tuple[np.ndarray, ...]:
+    """The stretches of a bucket in order of documents: batch, document, row, first window, size, begin; and all their bytes."""
     docs, batches, rows, at, sizes, texts = [], [], [], [], [], []
     for batch, blob in zip(pdf["batch"], pdf["blob"]):
         raw = _expand(blob)
         n = struct.unpack_from("<i", raw)[0]
-        o = 4
-        docs.append(np.cumsum(np.frombuffer(raw, np.int64, n, o)))
-        rows.append(np.frombuffer(raw, np.int32, n, o + 8 * n))
-        at.append(np.frombuffer(raw, np.int32, n, o + 12 * n))
-        sizes.append(np.frombuffer(raw, np.int32, n, o + 16 * n))
+        docs.append(np.cumsum(np.frombuffer(raw, np.int64, n, 4)))
+        for k, part in enumerate((rows, at, sizes)):
+            part.append(np.frombuffer(raw, np.int32, n, 4 + 8 * n + 4 * n * k).astype(np.int64))
         batches.append(np.full(n, batch, np.int64))
-        texts.append(raw[o + 20 * n :])
+        texts.append(np.frombuffer(raw, np.uint8, offset=4 + 20 * n))
     doc, row, start, size, source = (np.concatenate(x) for x in (docs, rows, at, sizes, batches))
-    data = b"".join(texts)
-    begin = np.concatenate([[0], np.cumsum(size)[:-1]])
     order = np.argsort(doc, kind="stable")
-    repeated: list[tuple[int, int, int, int]] = []  # source, row, first window, windows
-    least: dict[bytes, int] = {}
-    fresh: list[int] = []
-    for k in order.tolist():  # a stretch that a smaller document has whole needs no index
-        text = data[begin[k] : begin[k] + size[k]]
-        if least.setdefault(text, doc[k]) < doc[k]:
-            repeated.append((source[k], row[k], start[k], size[k] - length + 1))
-        else:
-            fresh.append(k)
-    del least
+    begin = np.cumsum(size) - size
+    return (*(x[order] for x in (source, doc, row, start, size, begin)), np.concatenate(texts))
+
+
+def _by_batch(source: np.ndarray, row: np.ndarray, at: np.ndarray, windows: np.ndarray) -> list[tuple[int, bytes]]:
+    order = np.argsort(source, kind="stable")
+    parts = np.split(order, np.flatnonzero(np.diff(source[order])) + 1)
+    return [(int(source[p[0]]), _runs(row[p], at[p], windows[p])) for p in parts if len(p)]
+
+
+def _folded(pdf: pd.DataFrame, length: int, buckets: int) -> pd.DataFrame:
+    """A share of a bucket's batches: of equal strings those of the least document go on, the others are settled."""
+    source, doc, row, start, size, begin, data = _opened(pdf)
+    settled = _earlier(data, begin, size, doc)
+    own = np.flatnonzero(settled)
+    rows = [(-1 - batch % buckets, batch, blob) for batch, blob in _by_batch(source[own], row[own], start[own], size[own] - length + 1)]
+    left = np.flatnonzero(~settled)
+    bucket = int(pdf["bucket"].iloc[0])
+    for batch in np.unique(source[left]).tolist():
+        part = left[source[left] == batch]
+        rows += [(to, batch, blob) for to, blob in _entries(np.full(len(part), bucket), doc[part], row[part], start[part], size[part], data, begin[part])]
+    return pd.DataFrame(rows, columns=["bucket", "batch", "blob"])
+
+
+def _indexed(pdf: pd.DataFrame, length: int, level: int) -> pd.DataFrame:
+    """A bucket's repeats: per batch the runs of windows that a smaller document has.
+
+    Buckets below zero hold runs that batches have settled themselves.
+    Stretches that a smaller document has whole are told first; of the others
+    those windows go to the suffix arrays whose hash another one has.
+    """
+    if pdf["bucket"].iloc[0] < 0:
+        return pdf[["batch", "blob"]]
+    source, doc, row, start, size, begin, data = _opened(pdf)
+    known = _earlier(data, begin, size, doc)
+    whole, fresh = np.flatnonzero(known), np.flatnonzero(~known)
     index = SuffixLevels(length, level)
-    chosen = np.array(fresh, np.int64)
-    windows = size[chosen] - length + 1
-    total = np.concatenate([[0], np.cumsum(windows)])
-    flat = np.frombuffer(data, np.uint8)
+    windows = size[fresh] - length + 1
+    which = np.repeat(fresh, windows)
+    place = np.repeat(begin[fresh] - np.cumsum(windows) + windows, windows) + np.arange(len(which))
+    hashes = np.empty(len(which), np.uint64)
+    for k in range(0, len(which), 1 << 16):
+        hashes[k : k + (1 << 16)] = string_hashes(data, place[k : k + (1 << 16)], np.full(len(which[k : k + (1 << 16)]), length))
+    order = np.argsort(hashes)
+    same = hashes[order[1:]] == hashes[order[:-1]]
+    twice = np.zeros(len(which), bool)
+    twice[order[1:][same]] = twice[order[:-1][same]] = True
+    del hashes, order, same
+    which, place = which[twice], place[twice]
+    found: list[np.ndarray] = []
     lo = 0
-    while lo < len(chosen):
-        hi = int(np.searchsorted(total, total[lo] + level, "left"))
-        hi = min(max(hi, lo + 1), len(chosen))
-        while hi < len(chosen) and doc[chosen[hi]] == doc[chosen[hi - 1]]:  # a document isn't split
-            hi += 1
-        part, n = chosen[lo:hi], windows[lo:hi]
-        which = np.repeat(np.arange(len(part)), n)
-        offset = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-        hit = index.add(flat, begin[part][which] + offset, doc[part][which])
-        found = np.flatnonzero(hit)
-        if len(found):
-            cut = np.flatnonzero((np.diff(found) != 1) | (np.diff(which[found]) != 0)) + 1
-            heads, ends = found[np.concatenate([[0], cut])], found[np.append(cut, len(found)) - 1]
-            for h, e in zip(heads.tolist(), ends.tolist()):
-                k = part[which[h]]
-                repeated.append((source[k], row[k], start[k] + offset[h], e - h + 1))
+    while lo < len(which):
+        hi = min(lo + level, len(which))
+        hi = int(np.searchsorted(doc[which], doc[which[hi - 1]], "right"))  # a document isn't split
+        found.append(lo + np.flatnonzero(index.add(data, place[lo:hi], doc[which[lo:hi]])))
         lo = hi
-    if not repeated:
-        return pd.DataFrame({"batch": pd.Series([], dtype="int64"), "blob": pd.Series([], dtype=object)})
-    made = np.array(repeated, np.int64)
-    made = made[np.argsort(made[:, 0], kind="stable")]
-    cuts = np.flatnonzero(np.diff(made[:, 0])) + 1
-    return pd.DataFrame([(g[0, 0], _squeeze(g[:, 1:].astype(np.int32))) for g in np.split(made, cuts)], columns=["batch", "blob"])
+    hit = np.concatenate(found) if found else np.zeros(0, np.int64)
+    own, at = which[hit], place[hit] - begin[which[hit]]
+    heads = np.flatnonzero(np.append(True, (np.diff(own) != 0) | (np.diff(at) != 1)))[: len(own)]
+    many = np.diff(np.append(heads, len(own)))
+    own, at = own[heads], at[heads]
+    rows = _by_batch(np.concatenate([source[whole], source[own]]), np.concatenate([row[whole], row[own]]), np.concatenate([start[whole], start[own] + at]), np.concatenate([size[whole] - length + 1, many]))
+    return pd.DataFrame({"batch": pd.Series([b for b, _ in rows], dtype="int64"), "blob": pd.Series([x for _, x in rows], dtype=object)})
 
 
 def _cut(payload: bytes, blobs: list[bytes], id_col: str, text_col: str, length: int) -> tuple[pa.RecordBatch, dict[str, list]]:
@@ -362,8 +437,8 @@ def _found(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int,
                 rows = _open(payload)
                 data, starts = _texts(rows, text_col)
                 value, _, _, owner = anchors(data, starts, length, gram)
-                owner = _ids(rows, id_col)[owner]
-                value, owner = value[owner != 2**63 - 1], owner[owner != 2**63 - 1]
+                ids, has_id = _ids(rows, id_col)
+                value, owner = value[has_id[owner]], ids[owner[has_id[owner]]]
                 # Each anchor once, twice if two documents of the batch have it.
                 order = np.lexsort((owner, value))
                 value, owner = value[order], owner[order]
@@ -383,7 +458,7 @@ def _found(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int,
                         yield pa.RecordBatch.from_pydict({"bucket": pa.array([int(b[0])], pa.int64()), "batch": pa.array([batch], pa.int64()), "blob": pa.array([_squeeze(l)], pa.binary())})
 
     sent = batches.select("batch", "payload").mapInArrow(send, "bucket long, batch long, blob binary")
-    answers = sent.groupBy("bucket").applyInPandas(lambda pdf: _shared_anchors(pdf, hot), "batch long, bucket long, blob binary")
+    answers = durable(sent.groupBy("bucket").applyInPandas(lambda pdf: _shared_anchors(pdf, hot), "batch long, bucket long, hot boolean, blob binary"))
 
     def stretch(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in found:
@@ -396,6 +471,18 @@ def _found(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int,
     # One plan from here on: both joins read the same exchange of the batches.
     batches = batches.select("batch", "payload")
     stretches = _with_blobs(batches, answers).select("batch", "payload", "blobs").mapInArrow(stretch, "bucket long, batch long, blob binary")
+    if answers.where("hot").limit(1).count():
+        # Windows of hot anchors, in buckets of their own, are folded in shares of the batches before each bucket has them all.
+        stretches = durable(stretches)
+        n = stretches.where(F.col("bucket") >= buckets).groupBy("bucket").count().agg(F.max("count")).first()[0] or 0
+        while n > hot:
+            salted = stretches.where(F.col("bucket") >= buckets).withColumn("share", F.pmod(F.xxhash64("batch", F.lit(n)), F.lit(-(-n // hot))))
+            folded = salted.groupBy("bucket", "share").applyInPandas(lambda pdf: _folded(pdf.drop(columns="share"), length, buckets), "bucket long, batch long, blob binary")
+            stretches = durable(stretches.where(F.col("bucket") < buckets).unionAll(folded))
+            left = stretches.where(F.col("bucket") >= buckets).groupBy("bucket").count().agg(F.max("count")).first()[0] or 0
+            if left > n // 2:
+                break
+            n = left
     indexed = stretches.groupBy("bucket").applyInPandas(lambda pdf: _indexed(pdf, length, level), "batch long, blob binary")
     return _with_blobs(batches, indexed.select("batch", F.lit(0).cast("long").alias("bucket"), "blob"))
 
