@@ -9,11 +9,12 @@ algorithm decides whether the whole item is there within its budget.
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
 from itertools import chain
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -110,7 +111,7 @@ class Matcher:
         self.empty = not where
 
     def matches(self, text: str) -> list[tuple[object, int, int, int]]:
-        """(item, distance, begin, end) in the normalised text, the best place of each item first found."""
+        """(item, distance, begin, end) in the normalised text: the best place of each item, of equally good ones the first."""
         if self.empty or not text:
             return []
         text = normalise(text)
@@ -124,7 +125,7 @@ class Matcher:
                 tried.add((k, at))
                 p = self.patterns[k]
                 known = found.get(k)
-                if known is not None and (known[0] == 0 or known[1] <= at + a < known[2]):
+                if known is not None and known[0] == 0 and known[1] <= at:
                     continue
                 hit = p.find(text, max(0, at - p.budget), min(len(text), at + p.size + p.budget))
                 if hit is not None and (known is None or hit < known):
@@ -159,45 +160,66 @@ def contamination(docs: DataFrame, items: DataFrame, rate: float = MAX_ERROR_RAT
     """
     kind = dict(docs.select(F.col(id_col).alias("doc_id")).dtypes)["doc_id"]
     of = dict(items.select(F.col(item_col).alias("i")).dtypes)["i"]
-    schema = f"doc_id {kind}, matches array<struct<item_id:{of},distance:int,begin:int,end:int>>"
+    schema = f"doc_id {kind}"
     rows = id_and_text(docs, id_col, text_col)
-    session = docs.sparkSession
+    blocks = _blocks(items, item_col, item_text_col)
+    block, more = next(blocks, []), next(blocks, None)
+    if more is None:
+        found = _scan(rows, block, rate, schema, of)[0]
+    else:
+        numbered = _numbered(rows)
+        found = numbered.select("row", "doc_id").join(_hits(numbered, chain([block, more], blocks), rate, of), "row", "left").withColumn("matches", F.coalesce("matches", F.array()))
+    return found.select("doc_id", (F.size("matches") > 0).alias("contaminated"), F.array_sort("matches").alias("matches"))
 
-    def scan(rows: DataFrame, block: list[tuple[object, str]], name: str, schema: str) -> DataFrame:
-        shared = session.sparkContext.broadcast(pickle.dumps(block))
 
-        def each():
-            matcher = Matcher(pickle.loads(shared.value), rate)
+def _scan(rows: DataFrame, block: list[tuple[object, str]], rate: float, schema: str, of: str) -> tuple[DataFrame, Broadcast]:
+    """The first column of ``rows``, and the matches of the texts in the second; and what the executors are sent for it."""
+    shared = rows.sparkSession.sparkContext.broadcast(pickle.dumps(block))
+    name = rows.columns[0]
 
-            def step(part: pa.RecordBatch) -> dict:
-                found = [matcher.matches(t) for t in part.column(1).to_pylist()]
-                return {name: part.column(0), "matches": [[{"item_id": i, "distance": d, "begin": a, "end": b} for i, d, a, b in m] for m in found]}
+    def each():
+        matcher = Matcher(pickle.loads(shared.value), rate)
 
-            return step
+        def step(part: pa.RecordBatch) -> dict:
+            found = [matcher.matches(t) for t in part.column(1).to_pylist()]
+            return {name: part.column(0), "matches": [[{"item_id": i, "distance": d, "begin": a, "end": b} for i, d, a, b in m] for m in found]}
 
-        return map_slices(rows, schema, each)
+        return step
 
-    blocks = _blocks(items, item_col, item_text_col)
-    block, more = next(blocks, []), next(blocks, None)
-    if more is None:
-        found = scan(rows, block, "doc_id", schema)
-    else:
-        # Rows get numbers that every scan sees alike; ids may be null or repeated.
-        numbered = durable(rows.withColumn("row", F.monotonically_increasing_id()))
-        scans = [scan(numbered.select("row", "text"), b, "row", schema.replace(f"doc_id {kind}", "row long")).where(F.size("matches") > 0) for b in chain([block, more], blocks)]
-        united = reduce(DataFrame.unionAll, scans).groupBy("row").agg(F.flatten(F.collect_list("matches")).alias("matches"))
-        found = numbered.select("row", "doc_id").join(united, "row", "left").withColumn("matches", F.coalesce("matches", F.array()))
-    return found.select("doc_id", (F.size("matches") > 0).alias("contaminated"), F.array_sort("matches").alias("matches"))
+    return map_slices(rows, f"{schema}, matches array<struct<item_id:{of},distance:int,begin:int,end:int>>", each), shared
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Rows with numbers that every scan sees alike; ids may be null or repeated."""
+    return durable(rows.withColumn("row", F.monotonically_increasing_id()))
+
+
+def _hits(numbered: DataFrame, blocks: Iterable[list[tuple[object, str]]], rate: float, of: str) -> DataFrame:
+    """(row, matches) of the rows in which an item of any block is found.
+
+    Blocks are scanned one after the other, and each one's items leave the
+    driver and the executors before the next ones come.
+    """
+    scans = []
+    for block in blocks:
+        found, shared = _scan(numbered.select("row", "text"), block, rate, "row long", of)
+        scans.append(durable(found.where(F.size("matches") > 0)))
+        shared.destroy()
+    return reduce(DataFrame.unionAll, scans).groupBy("row").agg(F.flatten(F.collect_list("matches")).alias("matches"))
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, rate: float = MAX_ERROR_RATE, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The documents, all columns kept, in which no item is found."""
-    for block in _blocks(items, item_col, item_text_col):
-        shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(block))
+    blocks = _blocks(items, item_col, item_text_col)
+    block, more = next(blocks, []), next(blocks, None)
+    if more is not None:
+        of = dict(items.select(F.col(item_col).alias("i")).dtypes)["i"]
+        numbered = _numbered(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("all"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
+        return numbered.join(_hits(numbered, chain([block, more], blocks), rate, of), "row", "left_anti").select("all.*")
+    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(block))
 
-        def each(shared=shared):
-            matcher = Matcher(pickle.loads(shared.value), rate)
-            return lambda texts: [not matcher.matches(t or "") for t in texts]
+    def each():
+        matcher = Matcher(pickle.loads(shared.value), rate)
+        return lambda texts: [not matcher.matches(t or "") for t in texts]
 
-        docs = filter_slices(docs, text_col, each)
-    return docs
+    return filter_slices(docs, text_col, each)
