@@ -32,11 +32,16 @@ STEPS, BATCH, RATE, SEED = 400, 256, 0.02, 7
 #: More labels than this can't be languages.
 MOST_LANGUAGES = 512
 #: Bytes of a segment, and of the overlap on either side that only warms up the states.
-SEGMENT, CONTEXT = 480, 16
+SEGMENT, CONTEXT = 480, 48
 #: Segments that advance together.
 LANES = 1536
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+#: Letters, and numbers that aren't decimal digits.
+_LETTERLIKE = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in _LETTERLIKE.finditer(text))
 
 
 @dataclass
@@ -291,7 +296,7 @@ def identify(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: st
 
         def step(part: pa.RecordBatch) -> dict:
             texts = part.column(2).to_pylist()
-            known = [bool(net.languages and _LETTER.search(t)) for t in texts]
+            known = [bool(net.languages and has_letter(t)) for t in texts]
             pooled = reader.documents([t.encode() if k else b"" for t, k in zip(texts, known)]) if net.languages else np.zeros((len(texts), 1))
             best = pooled.argmax(1)
             return {
@@ -316,7 +321,7 @@ def identified(docs: DataFrame, net: Network, least: float = 0.5, text_col: str
         reader = Reader(net)
 
         def step(texts: list[str | None]) -> list[bool]:
-            known = [bool(net.languages and t and _LETTER.search(t)) for t in texts]
+            known = [bool(net.languages and t and has_letter(t)) for t in texts]
             pooled = reader.documents([t.encode() if k else b"" for t, k in zip(texts, known)]) if net.languages else np.zeros((len(texts), 1))
             return [k and bool(row.max() >= least) for k, row in zip(known, pooled)]
 
