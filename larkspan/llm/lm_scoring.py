@@ -24,18 +24,37 @@ DICTIONARY_BYTES, CORPUS_BYTES = 65_536, 1024
 LEVEL = 3
 #: Ids of in-domain documents are broadcast up to so many; beyond, joined by shuffle.
 BROADCAST_ROWS = 1_000_000
-#: Longer words say nothing about a language and are left out of the counts.
-WORD_CHARS = 40
+#: Words up to so many characters are counted whole, longer ones by windows of so many.
+WORD_CHARS, WINDOW_CHARS = 16, 8
+#: Of the windows of a long word those are counted whose first characters hash to a multiple of this.
+EVERY = 4
+
+
+def _pieces(word: Column) -> Column:
+    """A word whole, or the windows of a long one.
+
+    A long word, such as a line in a script without spaces, is cut into
+    windows where its own characters say, so equal passages give equal windows
+    wherever they stand; the window at its begin always counts.
+    """
+    step = 504  # a substring is reached by counting characters, so long words are taken in parts that overlap
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.char_length(word) - WINDOW_CHARS) / step).cast("int")), lambda i: F.substring(word, i * step + 1, F.lit(step + WINDOW_CHARS - 1)))
+    windows = lambda part: F.transform(
+        F.filter(F.sequence(F.lit(1), F.char_length(part) - WINDOW_CHARS + 1), lambda p: (p == 1) | (F.pmod(F.xxhash64(F.substring(part, p, F.lit(3))), F.lit(EVERY)) == 0)),
+        lambda p: F.substring(part, p, F.lit(WINDOW_CHARS)),
+    )
+    return F.when(F.char_length(word) <= WORD_CHARS, F.array(word)).otherwise(F.flatten(F.transform(parts, windows)))
 
 
 def word_counts(docs: DataFrame, in_domain: Column, text_col: str = "text") -> DataFrame:
     """Occurrences of every word in all documents and in the in-domain ones.
 
-    Words are what spaces separate, line ends included; partial sums are formed
-    before the one shuffle, so a frequent word is one row a task.
+    Words are what white space separates, long ones counted by their windows;
+    partial sums are formed before the one shuffle, so a frequent word is one
+    row a task.
     """
-    words = docs.select(F.explode(F.split(F.col(text_col), " ")).alias("word"), F.when(in_domain, 1).otherwise(0).alias("in"))
-    return words.where((F.char_length("word") > 1) & (F.char_length("word") <= WORD_CHARS)).groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("in").alias("n_in"))
+    words = docs.select(F.explode(F.split(F.col(text_col), r"\s+")).alias("run"), F.when(in_domain, 1).otherwise(0).alias("in")).where("run <> ''")
+    return words.select(F.explode(_pieces(F.col("run"))).alias("word"), "in").groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("in").alias("n_in"))
 
 
 def dictionary(counts: DataFrame, column: str, size: int = DICTIONARY_BYTES) -> bytes:
@@ -68,7 +87,8 @@ def dictionaries(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     the counted words unless given; what can't be broadcast is refused.
     """
     marked = labels.where(F.col("quality") == 1 if good is None else good).select(F.col(label_id).alias("_id")).where(F.col("_id").isNotNull()).distinct()
-    few = marked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    size_of = marked.limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(F.col("_id").cast("string"))), F.lit(0)).alias("bytes")).first()
+    few = size_of.n <= BROADCAST_ROWS and size_of.bytes <= MAX_BROADCAST_BYTES
     marked = marked.withColumn("_in", F.lit(True))
     rows = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
     joined = rows.join(F.broadcast(marked) if few else marked, F.col("_doc") == F.col("_id"), "left").select("text", "_in")
