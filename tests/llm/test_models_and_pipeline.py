@@ -98,6 +98,23 @@ def test_language_query(spark, small):
     assert set(rows) == set(truth) and sum(rows[i].lang_pred == truth[i] for i in held) / len(held) > 0.9
 
 
+def test_only_letters_count_as_letters(spark, net):
+    texts = ["½", "²", "Ⅷ", "①", "٣", "_", "\u0301", "a", "½a", "日", "ª"]
+    assert [language_id.has_letter(t) for t in texts] == [any(c.isalpha() for c in t) for t in texts]
+    rows = {r.doc_id: r for r in language_id.identify(frame(spark, list(enumerate(texts))), net).collect()}
+    assert all((rows[i].lang_pred == "und") != language_id.has_letter(t) for i, t in enumerate(texts))
+
+
+def test_segments_predict_what_whole_texts_do(spark, small):
+    """Against the states run through each whole text, byte by byte."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    net = language_id.fit(docs)
+    reader = language_id.Reader(net)
+    texts = [r.text.encode() for r in docs.orderBy("doc_id").collect() if r.text and language_id.has_letter(r.text) and len(r.text) < 20_000][:60]
+    slow, fast = np.stack([reader.positions(t).mean(0) for t in texts]), reader.documents(texts)
+    assert (slow.argmax(1) == fast.argmax(1)).all() and np.abs(slow - fast).max() < 0.02
+
+
 def test_scores_are_compressed_sizes(spark, odd, none):
     import zstandard
 
@@ -158,3 +175,51 @@ def test_dictionaries_grow_with_the_corpus(spark, monkeypatch):
     assert min(len(good), len(all_)) > lm_scoring.DICTIONARY_BYTES
     rows = lm_scoring.score(docs, good, all_).collect()
     assert len(rows) == 40 and all(0 < r.in_bits < 8 for r in rows)
+
+
+def brute_pieces(word):
+    import xxhash
+
+    if len(word) <= lm_scoring.WORD_CHARS:
+        return [word]
+    n, step = lm_scoring.WINDOW_CHARS, 504
+    return [word[p : p + n] for p in range(len(word) - n + 1) if p % step == 0 or xxhash.xxh64_intdigest(word[p : p + 3].encode(), 42) % lm_scoring.EVERY == 0]
+
+
+def test_all_words_are_counted(spark, odd):
+    """Long words by their windows, one-character words, scripts without spaces; against a count of its own."""
+    import re
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(3)
+    sign = lambda n: "".join(chr(0x3042 + rng.randrange(40)) for _ in range(n))
+    common = sign(30)
+    docs = [(i, sign(rng.randint(0, 40)) + common + sign(rng.randint(0, 900)) + "\n\ta b\r\n" + "x" * rng.randint(0, 1200)) for i in range(12)] + ODD
+    want, good = Counter(), Counter()
+    for i, t, *_ in docs:
+        for w in re.split("[ \t\n\x0b\f\r]+", t or ""):
+            for piece in brute_pieces(w) if w else ():
+                want[piece] += 1
+                good[piece] += i is not None and i < 4
+    got = lm_scoring.word_counts(frame(spark, docs).where("text is not null"), F.col("doc_id") < 4).collect()
+    assert {r.word: (r.n, r.n_in) for r in got} == {w: (n, good[w]) for w, n in want.items()}
+    labels = spark.createDataFrame([(i, 1) for i in range(4)], "doc_id long, quality int")
+    inside, general = lm_scoring.dictionaries(frame(spark, docs[:12]), labels)
+    assert any(common[p : p + 8].encode() in inside and common[p : p + 8].encode() in general for p in range(23))
+
+
+def test_dictionary_keeps_the_words_that_save_most(spark):
+    rng = random.Random(5)
+    words = {"".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))): rng.randint(1, 60) for _ in range(300)}
+    counts = spark.createDataFrame(list(words.items()), "word string, n long")
+    ranked = sorted((w for w, n in words.items() if n > 1), key=lambda w: (-words[w] * len(w), w))
+    for size in (0, 40, 500, 10**6):
+        held, want = 0, []
+        for w in ranked:
+            if held + len(w) + 1 > size:
+                break
+            want.append(w)
+            held += len(w) + 1
+        assert lm_scoring.dictionary(counts, "n", size).decode().split() == want[::-1]
