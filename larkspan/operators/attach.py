@@ -9,6 +9,7 @@ plan could be pruned away with an unused column.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -59,12 +60,41 @@ def join_keys(left: Slot, right: Slot) -> tuple[Column, Column]:
     return canonical(left), canonical(right)
 
 
-def enrich(df: DataFrame, scope: Scope, step: Enrich, db: Database, params: Mapping[str, Any], strict: bool = True, fields: set[str] | None = None) -> DataFrame:
-    """Attach ``step.name``: one row, an optional row or null, or all rows by key."""
+@dataclass(frozen=True)
+class _Attached:
+    """Where an attachment's documents come from."""
+
+    side: Collection
+    rows: DataFrame
+    aliases: tuple[str, ...]
+    cardinality: str
+
+
+def _violated(left: DataFrame, right: DataFrame, cardinality: str) -> bool:
+    """Whether a key of ``left`` (__k, null where absent: __p false) has too many rows in ``right`` (__k), or none where one is wanted.
+
+    One aggregation of both sides' keys, with partial sums before its shuffle;
+    documents aren't read and nothing is joined.
+    """
+    sides = left.select("__k", "__p", F.lit(0).alias("__r")).unionAll(right.select("__k", F.lit(None).cast("boolean"), F.lit(1)))
+    keys = sides.groupBy("__k").agg(F.max("__p").alias("some"), F.min("__p").alias("all"), F.sum("__r").alias("n"))
+    many = F.coalesce(F.col("some"), F.lit(False)) & (F.col("n") > 1)
+    if cardinality == "exactly_one":
+        many = many | (F.coalesce(F.col("some"), F.lit(False)) & (F.col("n") == 0)) | ~F.coalesce(F.col("all"), F.lit(True))
+    return keys.where(many).limit(1).count() > 0
+
+
+def enrich(df: DataFrame, scope: Scope, step: Enrich, db: Database, params: Mapping[str, Any], strict: bool = True, fields: set[str] | None = None, known: dict[str, _Attached] | None = None, top: str | None = None) -> DataFrame:
+    """Attach ``step.name``: one row, an optional row or null, or all rows by key.
+
+    ``known`` are attachments made before, ``top`` names a flag of rows that
+    only carry their document and match nothing.
+    """
     if step.name in df.columns:
         raise StaticError("field_exists", step.name)
     side = db[step.source]
-    inner = side.scope(tuple(x for x in (step.alias, step.source) if x))
+    aliases = tuple(x for x in (step.alias, step.source) if x)
+    inner = side.scope(aliases)
     right = side.rows
     if step.where is not None:
         right = right.where(Compiler(inner, params).condition(step.where))
@@ -80,13 +110,25 @@ def enrich(df: DataFrame, scope: Scope, step: Enrich, db: Database, params: Mapp
         grouped = keyed.groupBy("__rk").agg(got.alias("__got"))
     else:
         grouped = keyed.groupBy("__rk").agg(F.count(F.lit(1)).alias("__n"), F.first("__doc").alias("__got"))
-    joined = df.withColumns({"__lk": lk, "__lp": l.present}).join(grouped, F.col("__lp") & F.col("__lk").eqNullSafe(F.col("__rk")), "left")
+    real = F.lit(True) if top is None else ~F.col(top)
+    if strict and not many:
+        foreign = right.where(r.present).select(rk.alias("__k"))
+        sure = False
+        before = (known or {}).get(step.left.split(".")[0])
+        if before is not None and "." in step.left and (before.cardinality == "exactly_one" or step.cardinality == "optional"):
+            # Keys from an attachment made before: if all its documents are fine, so are those that were attached.
+            slot = before.side.scope(before.aliases).resolve(step.left.split(".", 1)[1])
+            if slot.kind == l.kind:
+                sure = not _violated(before.rows.select(join_keys(slot, r)[0].alias("__k"), slot.present.alias("__p")), foreign, step.cardinality)
+        if not sure and _violated(df.where(real).select(lk.alias("__k"), l.present.alias("__p")), foreign, step.cardinality):
+            raise CardinalityError("cardinality", f"{step.name} expects {step.cardinality}")
+    if known is not None:
+        known[step.name] = _Attached(side, right, aliases, step.cardinality)
+    joined = df.withColumns({"__lk": lk, "__lp": l.present & real}).join(grouped, F.col("__lp") & F.col("__lk").eqNullSafe(F.col("__rk")), "left")
     if not many:
         found = F.coalesce(F.col("__n"), F.lit(0))
         bad = (found > 1) if step.cardinality == "optional" else (found != 1)
-        if strict and joined.where(bad).limit(1).count():
-            raise CardinalityError("cardinality", f"{step.name} expects {step.cardinality}")
-        value = F.when(bad, F.raise_error(F.lit(f"cardinality: {step.name}"))).otherwise(F.col("__got"))
+        value = F.when(bad & real, F.raise_error(F.lit(f"cardinality: {step.name}"))).otherwise(F.col("__got"))
     else:
         value = F.coalesce(F.col("__got"), F.array().cast(grouped.schema["__got"].dataType))
     names = [F.col(f"`{c}`") for c in df.columns]
@@ -140,7 +182,7 @@ def _carrier(slot: Slot, path: str) -> None:
         raise StaticError("within_carrier", f"{path} is {slot.kind}, not an array")
 
 
-def within(df: DataFrame, scope: Scope, step: Within, db: Database, params: Mapping[str, Any], ties: tuple[str, ...], strict: bool = True) -> DataFrame:
+def within(df: DataFrame, scope: Scope, step: Within, db: Database, params: Mapping[str, Any], ties: tuple[str, ...], strict: bool = True, top: str | None = None) -> DataFrame:
     """Run steps on the elements of a nested array and write the array back.
 
     Elements keep their order, filtered ones drop, an empty array stays empty.
@@ -148,7 +190,8 @@ def within(df: DataFrame, scope: Scope, step: Within, db: Database, params: Mapp
     """
     slot = scope.resolve(step.path)
     _carrier(slot, step.path)
-    if strict and df.where(~slot.present | slot.value.isNull()).limit(1).count():
+    real = F.lit(True) if top is None else ~F.col(top)
+    if strict and df.where(real & (~slot.present | slot.value.isNull())).limit(1).count():
         raise StaticError("within_carrier", f"{step.path} is null or missing in a row")
     if _only_filters(step.steps):
         return _write(df, step.path, _filtered(slot.value, slot.dtype, step, params))
@@ -156,31 +199,35 @@ def within(df: DataFrame, scope: Scope, step: Within, db: Database, params: Mapp
     ids = [t for t in ties if t in df.columns]
     if not ids:
         raise StaticError("within_needs_key", step.path)
-    element = slot.dtype.elementType
-    rows = df.select(*[F.col(f"`{t}`").alias(f"__id{i}") for i, t in enumerate(ids)], F.posexplode(slot.value).alias("__pos", "__el"))
-    names = element.names
-    flat = rows.select(*[c for c in rows.columns if c != "__el"], *[F.col("__el").getField(n).alias(n) for n in names])
-    flat = steps(flat, step.steps, db, params, (*[f"__id{i}" for i in range(len(ids))], "__pos"), strict, (step.alias,) if step.alias else ())
+    # A row before the elements carries the document's other columns, so that one aggregation puts all together again.
+    others = [c for c in df.columns if c != step.path]
+    names = slot.dtype.elementType.names
+    elements = F.concat(F.array(F.lit(None).cast(slot.dtype.elementType)), F.coalesce(slot.value, F.array().cast(slot.dtype)))
+    rows = df.select(*[F.col(f"`{t}`").alias(f"__id{i}") for i, t in enumerate(ids)], F.struct(*[F.col(f"`{c}`") for c in others]).alias("__document"), F.posexplode(elements).alias("__pos", "__el"))
+    first = F.col("__pos") == 0
+    flat = rows.select(*[f"__id{i}" for i in range(len(ids))], "__pos", first.alias("__top"), F.when(first, F.col("__document")).alias("__document"), *[F.col("__el").getField(n).alias(n) for n in names])
+    flat = steps(flat, step.steps, db, params, (*[f"__id{i}" for i in range(len(ids))], "__pos"), strict, (step.alias,) if step.alias else (), top="__top")
     fields = [c for c in flat.columns if not c.startswith("__")]
-    back = flat.groupBy(*[f"__id{i}" for i in range(len(ids))]).agg(F.transform(F.array_sort(F.collect_list(F.struct("__pos", F.struct(*fields).alias("__el")))), lambda x: x["__el"]).alias("__array"))
-    condition = None
-    for i, t in enumerate(ids):
-        test = F.col(f"`{t}`").eqNullSafe(F.col(f"__id{i}"))
-        condition = test if condition is None else condition & test
-    joined = df.join(back, condition, "left").withColumn("__array", F.coalesce(F.col("__array"), F.array().cast(back.schema["__array"].dataType)))
-    return _write(joined, step.path, F.col("__array")).select(*[F.col(f"`{c}`") for c in df.columns])
+    element = F.struct("__pos", F.struct(*[F.col(f"`{c}`") for c in fields]).alias("__el"))
+    back = flat.groupBy(*[f"__id{i}" for i in range(len(ids))]).agg(F.first("__document", ignorenulls=True).alias("__document"), F.collect_list(F.when(~F.col("__top"), element)).alias("__array"))
+    array = F.transform(F.array_sort("__array"), lambda x: x["__el"]).alias("__array")
+    whole = back.select(*[F.col("__document").getField(c).alias(c) for c in others], array)
+    return _write(whole, step.path, F.col("__array")).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
-def steps(df: DataFrame, found: tuple[Step, ...], db: Database, params: Mapping[str, Any], ties: tuple[str, ...], strict: bool = True, aliases: tuple[str, ...] = (), body: str | None = None, plan: Plan | None = None) -> DataFrame:
-    """Run attachment steps in order; ``plan`` tells which fields of them are read."""
+def steps(df: DataFrame, found: tuple[Step, ...], db: Database, params: Mapping[str, Any], ties: tuple[str, ...], strict: bool = True, aliases: tuple[str, ...] = (), body: str | None = None, plan: Plan | None = None, top: str | None = None) -> DataFrame:
+    """Run attachment steps in order; ``plan`` tells which fields of them are read, rows flagged by ``top`` pass."""
+    known: dict[str, _Attached] = {}
     for s in found:
         scope = Scope(df.schema, body if body in df.columns else None, aliases)
         if isinstance(s, Where):
-            df = df.where(Compiler(scope, params).condition(s.predicate))
+            test = Compiler(scope, params).condition(s.predicate)
+            df = df.where(test if top is None else F.col(top) | test)
         elif isinstance(s, Enrich):
-            df = enrich(df, scope, s, db, params, strict, used_fields(plan, s.name) if plan is not None else None)
+            df = enrich(df, scope, s, db, params, strict, used_fields(plan, s.name) if plan is not None else None, known, top)
         else:
-            df = within(df, scope, s, db, params, ties, strict)
+            df = within(df, scope, s, db, params, ties, strict, top)
+            known.clear()
     return df
 
 

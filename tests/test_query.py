@@ -154,6 +154,40 @@ def test_within(db):
         e.run("from orders project { total { x } }")
 
 
+def test_within_with_filters_and_attachments(db, spark):
+    """Documents whose elements are all filtered keep the rest of their columns; what carries them matches nothing."""
+    rows = spark.createDataFrame([(1, "a", [("x", 1, [("p", 1)]), ("y", 2, [])]), (2, None, []), (3, "c", [(None, 3, [("q", 9), ("p", 4)])])], "id int, note string, items array<struct<sku:string,qty:int,parts:array<struct<k:string,n:int>>>>")
+    files = Database(spark)
+    files.add("carts", rows, "id")
+    files.add("skus", spark.createDataFrame([("x", "ex"), ("y", "why"), (None, "none")], "sku string, name string"), "sku")
+    files.add("kinds", spark.createDataFrame([("p", "pe"), ("q", "cue")], "k string, label string"), "k")
+    e = Engine(files)
+    got = {r.id: (r.note, [(x.qty, x.s.name) for x in r["items"]]) for r in e.run("from carts within items as i { where i.qty > 1 enrich s using skus matching sku = sku expect exactly_one }").collect()}
+    assert got == {1: ("a", [(2, "why")]), 2: (None, []), 3: ("c", [(3, "none")])}
+    deep = {r.id: [[(p.n, p.d.label) for p in x.parts] for x in r["items"]] for r in e.run("from carts within items as i { within parts as p { where p.n < 9 enrich d using kinds matching k = k expect exactly_one } }").collect()}
+    assert deep == {1: [[(1, "pe")], []], 2: [], 3: [[(4, "pe")]]}
+    with pytest.raises(CardinalityError):
+        e.run("from carts within items { enrich s using kinds matching sku = k expect exactly_one }")
+
+
+def test_cardinality_of_chains(spark):
+    """Violations in documents that nobody attached don't matter; those that matter are found."""
+    db = Database(spark)
+    db.add("a", spark.createDataFrame([(1, 10), (2, 20)], "id int, b int"), "id")
+    db.add("b", spark.createDataFrame([(10, 100), (20, 200), (30, 999)], "id int, c int"), "id")
+    db.add("c", spark.createDataFrame([(100, "x"), (200, "y")], "id int, name string"), "id")
+    text = "from a enrich b1 using b matching b = id expect exactly_one enrich c1 using c matching b1.c = id expect exactly_one project { id, name: c1.name }"
+    assert sorted(tuple(r) for r in Engine(db).run(text).collect()) == [(1, "x"), (2, "y")]
+    db.add("c", spark.createDataFrame([(100, "x")], "id int, name string"), "id")
+    with pytest.raises(CardinalityError):
+        Engine(db).run(text)
+    db.add("c", spark.createDataFrame([(100, "x"), (200, "y"), (200, "z")], "id int, name string"), "id")
+    with pytest.raises(CardinalityError):
+        Engine(db).run(text.replace("expect exactly_one project", "expect optional project"))
+    db.add("c", spark.createDataFrame([(100, "x"), (999, "y"), (999, "z")], "id int, name string"), "id")
+    assert sorted(str(r.name) for r in Engine(db).run(text.replace("expect exactly_one project", "expect optional project")).collect()) == ["None", "x"]
+
+
 def test_builder_and_text_have_one_hash():
     text = parse('from orders where status = "F" and total > 1 project id, total order by total desc limit 3')
     built = Builder("orders").where(P.field("status").eq("F") & P.field("total").gt(1)).project("id", "total").order_by("total", True).limit(3).build()
