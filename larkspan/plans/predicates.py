@@ -406,6 +406,9 @@ def _equal(a: Slot, b: Slot) -> Column:
         return F.coalesce(typed.value == b.value, F.coalesce(family(a.value) == "null", F.lit(False)) & b.value.isNull())
     if "null" in (a.kind, b.kind):
         return (b if a.kind == "null" else a).value.isNull() if a.kind != b.kind else F.lit(True)
+    if a.kind == b.kind == "array" and kind_of(a.dtype.elementType) != kind_of(b.dtype.elementType):
+        # Without an element in common only empty arrays are equal, such as the literal [].
+        return F.coalesce((F.size(a.value) == 0) & (F.size(b.value) == 0), F.lit(False)) | (a.value.isNull() & b.value.isNull())
     if a.kind == b.kind:
         return a.value.eqNullSafe(b.value)
     if {a.kind, b.kind} == {"time", "str"}:
