@@ -338,7 +338,7 @@ class _Parser:
                 self.need("op", "=")
                 b = self._setish()
                 self.need("op", "]")
-                e = ("call", ("name", "Match"), (("name", "l"), e, b, a))
+                e = ("each", None, "r", e, ("bin", "=", a, b))  # keeps the carrier of what it selects from
             elif e in (("name", "enrich"), ("name", "refine")) and k == "op" and t == "{":
                 self.at += 1
                 if e[1] == "refine":

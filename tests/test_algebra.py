@@ -53,6 +53,7 @@ def code(v):
         ("typeOf(Bytes(\"00ff\"))", "bytes"),
         ("Match(1, Seq[1, 2, 1], l, r)", {"$type": "bag", "$items": [1, 1]}),
         ("Seq[Map{k: 1}] |> enrich { m: one!(Match(l, Seq[Map{k: 1, v: 9}], l<k>!, r<k>!)) }", [{"k": 1, "m": {"k": 1, "v": 9}}]),
+        ("Seq[Map{k: 1}, Map{k: 2}][r<k>! = Ok(2)]", [{"k": 2}]),
         (";; note\n ok(1)", {"$type": "ok", "$value": 1}),
     ],
 )
