@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from functools import reduce
+from itertools import count
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,6 +26,8 @@ STRICT = {"$match", "$project", "$sort", "$skip", "$limit"}
 DENIED = {"$out", "$merge", "$function", "$accumulator"}
 FIRST = {"$search", "$geoNear", "$vectorSearch"}
 MOST_STAGES, MOST_ROWS = 50, 1000
+#: Documents of one facet of a result.
+MOST_FACET = 100_000
 
 
 def normalise(criteria: Any, key: str | None = None) -> Any:
@@ -239,10 +242,15 @@ class Documents:
         return df.unionByName(self._pipeline(self._visible(name), inner), allowMissingColumns=True)
 
     def _stage_facet(self, df: DataFrame, spec: Mapping[str, Sequence[Mapping[str, Any]]]) -> DataFrame:
-        """One row with the result of each inner pipeline as an array of its documents."""
+        """One row with the result of each inner pipeline as an array of its documents.
+
+        An array of more than ``MOST_FACET`` documents is refused: it would be one value of one row.
+        """
         parts = []
         for name, inner in spec.items():
             found = self._pipeline(df, inner)
+            if found.limit(MOST_FACET + 1).count() > MOST_FACET:
+                raise EngineError("facet_too_large", name)
             parts.append(found.agg(F.collect_list(F.struct(*[F.col(f"`{c}`") for c in found.columns])).alias(name)))
         return reduce(lambda a, b: a.crossJoin(b), parts)  # one row each
 
@@ -255,8 +263,9 @@ class Documents:
         nodes = right.select(F.col(spec["connectToField"]).alias("__to"), F.col(spec["connectFromField"]).alias("__next"), F.struct(*[F.col(f"`{c}`") for c in right.columns]).alias("__doc"))
         front = key.select("__row", _expression(key, spec["startWith"]).alias("__at")).where(F.col("__at").isNotNull()).distinct()
         seen = None
-        depth = spec.get("maxDepth", 100)
-        for _ in range(depth + 1):
+        depth = spec.get("maxDepth")
+        rounds = count() if depth is None else range(depth + 1)
+        for _ in rounds:  # ends where nothing new is reached: each round has documents not seen before
             hit = front.join(nodes, F.col("__at") == F.col("__to")).select("__row", "__to", "__next", "__doc")
             hit = durable(hit if seen is None else hit.join(seen.select("__row", "__to").distinct(), ["__row", "__to"], "left_anti"))
             if not hit.limit(1).count():

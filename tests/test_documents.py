@@ -86,3 +86,15 @@ def test_schema(spark):
     lines = spark.createDataFrame([('{"a": 1, "b": "x"}',), ('{"a": "no"}',), ('{"b": "y"}',), ("{",)], "j string")
     good, bad = M.apply_schema(lines, "j", "a int, b string", ["a"])
     assert [tuple(r) for r in good.collect()] == [(1, "x")] and bad.count() == 3
+
+
+def test_a_graph_of_any_depth(spark):
+    chain = spark.createDataFrame([(i, i - 1 if i else None) for i in range(106)] + [(900, 901), (901, 900)], "k int, up int")
+    found = M.Documents({"t": chain}).aggregate("t", [{"$match": {"k": {"$gt": 104}}}, {"$graphLookup": {"from": "t", "startWith": "$up", "connectFromField": "up", "connectToField": "k", "as": "above"}}])
+    assert {r.k: len(r.above) for r in found.collect()} == {105: 105, 900: 2, 901: 2}
+
+
+def test_a_facet_too_large_is_refused(docs, monkeypatch):
+    monkeypatch.setattr(M, "MOST_FACET", 2)
+    with pytest.raises(EngineError, match="facet_too_large"):
+        docs.aggregate("items", [{"$facet": {"a": [{"$match": {}}]}}])
