@@ -1,18 +1,36 @@
-"""Cutting lineage where a later step must see the same rows again."""
+"""The folder that all executors share, and cutting lineage in it."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+from larkspan.errors import StaticError
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``, which all executors share.
+
+    Where it is unset a temporary folder is made, on one machine only: on a
+    cluster the executors couldn't read it, so that is refused.
+    """
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if folder:
+        return folder
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise StaticError("no_shared_folder", "set spark.checkpoint.dir")
+    return tempfile.mkdtemp(prefix="larkspan-")
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """``df`` written to the session's ``spark.checkpoint.dir``, which all executors share.
+    """``df`` written to the shared folder, cut off from how it was made.
 
-    Only where that is unset, as on one machine, a temporary folder is made.
+    The files stay until the driver ends, or are cleaned when no longer used
+    where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="larkspan-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

@@ -17,7 +17,7 @@ from larkspan.sources.store import EVENTS, RECOVERY
 
 def changes(spark: SparkSession, path: str, collection: str | None = None, late: str = "1 hour", files: int = 1000) -> DataFrame:
     """New events as they are appended, each event once within the watermark."""
-    found = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files).parquet(f"{path}/events")
+    found = spark.readStream.schema(EVENTS).option("recursiveFileLookup", True).option("maxFilesPerTrigger", files).parquet(f"{path}/events")
     found = found if collection is None else found.where(F.col("collection") == collection)
     return found.withWatermark("written_at", late).dropDuplicatesWithinWatermark(["event_id"])
 
@@ -42,7 +42,7 @@ def maintain_live(spark: SparkSession, path: str, target: str, checkpoint: str)
         latest = rows.groupBy("collection", "key").agg(F.max_by(F.struct(*columns), order).alias("e")).select("collection", "key", "e.*")
         latest.write.mode("overwrite").parquet(f"{target}/generation={n}")
 
-    return spark.readStream.schema(EVENTS).parquet(f"{path}/events").writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return spark.readStream.schema(EVENTS).option("recursiveFileLookup", True).parquet(f"{path}/events").writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def generation(spark: SparkSession, target: str, n: int) -> DataFrame:

@@ -107,3 +107,91 @@ def test_streams(store, spark, tmp_path):
     want = {(r.collection, r.key, r.body) for r in S.live(store.events()).collect()}
     assert {(r.collection, r.key, r.body) for r in W.generation(spark, str(tmp_path / "live"), 0).collect()} == want
     assert W.event_counts(store.events(), "1 day").agg(F.sum("n")).first()[0] == store.events().count()
+
+
+def test_conditional_writes_are_atomic(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    s = S.Store(spark, str(tmp_path / "s"))
+    s.put("t", "a", {"n": 0})
+    version = S.history(s.events(), "t", "a").first().event_id
+
+    def attempt(call):
+        try:
+            call()
+            return True
+        except EngineError as e:
+            return e.code
+
+    with ThreadPoolExecutor(4) as pool:
+        got = list(pool.map(attempt, [lambda i=i: s.replace("t", "a", {"n": i}, version) for i in range(4)]))
+        made = list(pool.map(attempt, [lambda i=i: s.create("t", "b", i) for i in range(4)]))
+        list(pool.map(attempt, [lambda i=i: s.put("t", f"k{i}", i) for i in range(4)]))
+    assert sorted(map(str, got)) == ["True"] + ["version_conflict"] * 3 and sorted(map(str, made)) == ["True"] + ["exists"] * 3
+    segments = [r.segment for r in s.events().select("segment").collect()]
+    assert len(set(segments)) == len(segments) == 7 and s.get("t", "b") == made.index(True)
+
+
+def test_scan_pages(spark, tmp_path):
+    s = S.Store(spark, str(tmp_path / "s"))
+    s.put_many("t", {f"{p}{i:02d}": {"n": i} for p in "ab" for i in range(20)})
+    s.delete("t", "a03")
+    want = [f"a{i:02d}" for i in range(20) if i != 3]
+    for budget in ({"documents": 7}, {"documents": 100}, {"documents": 100, "result_bytes": 30}, {"documents": 1000, "result_bytes": 1}):
+        keys, after = [], None
+        while True:
+            page = s.scan_page("t", prefix="a", after=after, **budget)
+            keys += [r.key for r in page.rows.collect()]
+            after = page.continuation
+            if after is None:
+                break
+        assert keys == want, budget
+    page = s.scan_page("t", present=range(40), complete=False)
+    assert len(page.holes) == 24 and all(r.partition < 40 for r in page.rows.select(S.partition_of(F.col("key")).alias("partition")).collect())
+    with pytest.raises(CoverageError):
+        s.scan_page("t", present=[1])
+    assert s.scan_page("t", prefix="zz").rows.count() == 0
+
+
+def test_indexes(spark, tmp_path):
+    s = S.Store(spark, str(tmp_path / "s"))
+    s.put_many("t", {f"k{i}": {"n": i % 3, "s": "xy"[i % 2]} for i in range(12)})
+    found = lambda **q: sorted(r.key for r in s.probe("t", q).collect())
+    want = found(n=1, s="x")
+    s.create_index("t", "ns", ["n", "s"])
+    assert s.list_indexes("t")["ns"]["fields"] == ["n", "s"] and found(n=1, s="x") == want == ["k10", "k4"]
+    with pytest.raises(EngineError, match="index_exists"):
+        s.create_index("t", "ns", ["n"])
+    s.put("t", "k4", {"n": 2, "s": "x"})
+    s.put("t", "new", {"n": 1, "s": "x"})
+    s.delete("t", "k10")
+    assert found(n=1, s="x") == ["new"] and "k4" in found(n=2)
+    before = s.get_index("t", "ns")["upto"]
+    s.rebuild_index("t", "ns")
+    assert found(n=1, s="x") == ["new"] and s.get_index("t", "ns")["upto"] > before
+    s.drop_index("t", "ns")
+    assert s.list_indexes("t") == {} and found(n=1, s="x") == ["new"]
+    with pytest.raises(EngineError, match="unknown_index"):
+        s.drop_index("t", "ns")
+
+
+def test_more_holes_than_are_named(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(S, "NAMED_HOLES", 3)
+    s = S.Store(spark, str(tmp_path / "s"))
+    s.merge("t", spark.createDataFrame([(f"k{i}", "{oops" if i < 8 else "{}") for i in range(10)], "key string, body string"))
+    side = s.open(Database(spark), "t", complete=False)
+    assert [h.source for h in side.holes] == ["k0", "k1", "k2", "5 more"] and side.rows.count() == 2
+
+
+def test_a_shared_folder_is_wanted_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from larkspan.errors import StaticError
+    from larkspan.sources import durable
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    fake = lambda master: SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(getConf=lambda: conf, master=master))
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(StaticError, match="no_shared_folder"):
+            durable.shared_folder(fake(master))
+    assert durable.shared_folder(fake("local[2]"))
