@@ -17,6 +17,8 @@ from larkspan.operators.join import MultiQuery
 from larkspan.plans import dialects as D
 from larkspan.plans import predicates as P
 from larkspan.plans.query import Builder
+from larkspan.queries_more import ORACLES as _MORE_SQL
+from larkspan.queries_more import QUERIES as _MORE
 from larkspan.sources import store as S
 
 KEYS = {
@@ -72,7 +74,7 @@ def _text(name: str, tables: tuple[str, ...], text: str, sql: str, **params: obj
 
 # filters, projections, orders
 
-_text("core_filter_project", ("orders",), 'from orders where o_orderstatus = "F" and o_totalprice > 100000 project o_orderkey, o_totalprice order by o_totalprice desc, o_orderkey limit 100', "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 100000 ORDER BY o_totalprice DESC, o_orderkey LIMIT 100")
+_text("core_filter_project", ("orders",), 'from orders where o_orderstatus = "F" and o_totalprice > 100000 project o_orderkey, o_totalprice order by o_totalprice desc, o_orderkey', "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 100000")
 _text("core_range_compound", ("lineitem",), "from lineitem where l_quantity >= $lo and l_quantity < $hi and (l_discount > 0.05 or l_tax = 0) project l_orderkey, l_linenumber, l_quantity, l_discount", "SELECT l_orderkey, l_linenumber, l_quantity, l_discount FROM lineitem WHERE l_quantity >= 10 AND l_quantity < 20 AND (l_discount > 0.05 OR l_tax = 0)", lo=10, hi=20)
 _text("core_in", ("orders",), 'from orders where o_orderstatus in ["F", "P"] and o_orderkey not in [1, 2, 3] project o_orderkey, o_orderstatus', "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus IN ('F', 'P') AND o_orderkey NOT IN (1, 2, 3)")
 _text("core_ne", ("customer",), 'from customer where c_mktsegment != "BUILDING" project c_custkey, c_mktsegment', "SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment IS DISTINCT FROM 'BUILDING'")
@@ -254,14 +256,14 @@ def catalog_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
 # pages
 
 
-@_register("page_concat", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'P' ORDER BY o_totalprice DESC, o_orderkey LIMIT 120")
+@_register("page_concat", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'P'")
 def page_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three pages of forty, each found from the token of the one before."""
+    """All pages of four thousand, each found from the token of the one before."""
     e = Engine(database(spark, sf_dir, "orders"))
     plan = Builder("orders").where(P.field("o_orderstatus").eq("P")).project("o_orderkey", "o_totalprice").order_by("o_totalprice", True).build()
     out, token = None, None
-    for _ in range(3):
-        page = e.page(plan, after=token, size=40)
+    while True:
+        page = e.page(plan, after=token, size=4000)
         out = page.rows if out is None else out.unionByName(page.rows)
         token = page.continuation
         if token is None:
@@ -299,3 +301,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["flagship"] = flagship
 ORACLES["flagship"] = "SELECT o_orderkey, o_totalprice, c_name AS customer FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F' AND o_totalprice > 100000 ORDER BY o_totalprice DESC, o_orderkey LIMIT 100"
+
+QUERIES |= _MORE
+ORACLES |= _MORE_SQL
