@@ -9,15 +9,16 @@ The group sizes are never collected.  The driver holds a histogram of the hash
 range instead (a few thousand segments).  A segment can be cut nowhere or
 anywhere as far as the driver knows, which bounds the answer from both sides;
 only the segments in which a cut may fall are split further, one aggregation a
-round, until the bounds meet.  A round narrows each open segment ``FANOUT``
-times, so the number of rounds grows with the logarithm of the groups.
+round, until the bounds meet.  A round splits each open segment by as many bits
+of its own width, so the number of rounds grows with the logarithm of the
+groups, and what a round brings to the driver with the open segments alone.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspan.llm.common import durable
@@ -26,8 +27,8 @@ from larkspan.llm.common import durable
 FIRST_BITS = 12
 #: A segment in doubt is split into so many, as bits.
 FANOUT_BITS = 8
-#: Rows of one histogram segment are numbered in so many separate sorts.
-SALTS = 16
+#: Rows that are numbered in one sort; of a cell with more, such as a text that very many rows have, several are.
+SORTED_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -86,12 +87,11 @@ def minimax_cuts(groups: DataFrame, shards: int, first_bits: int = FIRST_BITS, f
     """
     order = F.col("h").bitwiseXOR(F.lit(-(2**63)))  # unsigned order, as a signed long
 
-    def histogram(frame: DataFrame, bits: int) -> list[Segment]:
-        key = F.shiftright(order, bits).alias("k")
-        rows = frame.groupBy(key).agg(F.sum("size").alias("s"), F.max("size").alias("m"), F.count(F.lit(1)).alias("n"), F.min(order).alias("at")).collect()
-        return [Segment(r.at if r.n == 1 else r.k << bits, 0 if r.n == 1 else bits, r.s, r.m, r.n) for r in rows]
+    def histogram(frame: DataFrame, bits: Column) -> list[Segment]:
+        rows = frame.groupBy(bits.cast("int").alias("b"), F.call_function("shiftright", order, bits.cast("int")).alias("k")).agg(F.sum("size").alias("s"), F.max("size").alias("m"), F.count(F.lit(1)).alias("n"), F.min(order).alias("at")).collect()
+        return [Segment(r.at if r.n == 1 else r.k << r.b, 0 if r.n == 1 else r.b, r.s, r.m, r.n) for r in rows]
 
-    segments = sorted(histogram(groups, 64 - first_bits), key=lambda s: s.low)
+    segments = sorted(histogram(groups, F.lit(64 - first_bits)), key=lambda s: s.low)
     if not segments:
         return 0, []
     while True:
@@ -106,11 +106,17 @@ def minimax_cuts(groups: DataFrame, shards: int, first_bits: int = FIRST_BITS, f
         open_ = [i for i in sorted(doubt) if segments[i].groups > 1]
         if not open_:
             return high, [segments[i].low for i in _walk(segments, high, shards, False)]
+        # Each by its own width: a wide segment beside a narrow one isn't split as finely.
+        # Large ones first: they are why others are in doubt, which may be settled without splitting them.
+        largest = max(segments[i].size for i in open_)
+        open_ = [i for i in open_ if segments[i].size * 8 >= largest]
         wanted = [segments[i] for i in open_]
-        within = F.lit(False)
-        for a, b in _runs(wanted):
-            within = within | order.between(F.lit(a), F.lit(b))
-        bits = max(0, min(s.bits for s in wanted) - fanout_bits)
+        bits, within = F.lit(None), F.lit(False)
+        for width in sorted({s.bits for s in wanted}):
+            own = F.lit(False)
+            for a, b in _runs([s for s in wanted if s.bits == width]):
+                own = own | order.between(F.lit(a), F.lit(b))
+            bits, within = F.when(own, F.lit(max(0, width - fanout_bits))).otherwise(bits), within | own
         finer = histogram(groups.where(within), bits)
         known = set(open_)
         closed = [s for i, s in enumerate(segments) if i not in known]
@@ -129,7 +135,7 @@ def _runs(segments: list[Segment]) -> list[tuple[int, int]]:
     return out
 
 
-def shard_by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", first_bits: int = FIRST_BITS, fanout_bits: int = FANOUT_BITS, salts: int = SALTS) -> DataFrame:
+def shard_by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", first_bits: int = FIRST_BITS, fanout_bits: int = FANOUT_BITS, sorted_rows: int = SORTED_ROWS) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     ``size`` is the text's UTF-8 bytes plus 1 (null: 1), ``text_crc32`` its
@@ -149,10 +155,12 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", tex
     for at in cuts:
         shard = shard + F.when(order >= F.lit(at), 1).otherwise(0)
     # Slots: rows are numbered within small cells; a cell's first slot is the count of all rows before it.
-    placed = rows.withColumns({"shard": shard.cast("int"), "cell": F.shiftright(order, 64 - first_bits), "salt": F.pmod(F.xxhash64("doc_id", "h"), F.lit(salts)).cast("int")})
+    placed = rows.withColumns({"shard": shard.cast("int"), "cell": F.shiftright(order, 64 - first_bits)})
+    counts = placed.groupBy("shard", "cell").agg(F.ceil(F.count(F.lit(1)) / sorted_rows).alias("parts"))  # 2**first_bits + shards rows at most
+    placed = placed.join(F.broadcast(counts), ["shard", "cell"]).withColumn("salt", F.pmod(F.xxhash64("doc_id", "h"), F.col("parts")).cast("int")).drop("parts")
     cells = placed.groupBy("shard", "cell", "salt").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("cell", "salt").rowsBetween(Window.unboundedPreceding, -1)
-    starts = cells.select("shard", "cell", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))  # at most (2**first_bits + shards) * salts rows
+    starts = cells.select("shard", "cell", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))  # as many rows and one more for every sorted_rows
     rank = F.row_number().over(Window.partitionBy("shard", "cell", "salt").orderBy("doc_id", "h"))
     return (
         placed.withColumn("rank", rank)

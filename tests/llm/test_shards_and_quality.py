@@ -112,3 +112,19 @@ def test_policies_and_ablations(spark, small):
     done = queries.op8_quality_rules(spark, small)
     assert done.count() == n and "Python" not in done._jdf.queryExecution().toString()
     assert all(r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words) and (not r.base_failed or not r.kept) for r in done.collect())
+
+
+def test_open_segments_are_split_by_their_own_width(spark, monkeypatch):
+    """Heavy groups close together, light ones far apart: most of the light ones never come to the driver."""
+    rows = [(i << 20, 5) for i in range(4096)] + [((1 << 62) + (i << 50), 7) for i in range(2048)]
+    df = spark.createDataFrame([(h, s) for h, s in rows], "h long, size long").cache()
+    segments = []
+    walk = sharding._walk
+    monkeypatch.setattr(sharding, "_walk", lambda found, *a: (segments.append(len(found)), walk(found, *a))[1])
+    capacity, cuts = sharding.minimax_cuts(df, 8, 2, 4)
+    assert capacity == brute_capacity([s for _, s in sorted(rows)], 8) and len(cuts) <= 7 and max(segments) < len(rows) / 4
+
+
+def test_a_hot_text_is_numbered_in_parts(spark):
+    docs = [(i, "the same text") for i in range(300)] + [(i, f"text {i}") for i in range(300, 340)] + [(None, "the same text")] * 3
+    check_shards(docs, sharding.shard_by_bytes(frame(spark, docs), sorted_rows=20).collect())
