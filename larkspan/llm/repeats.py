@@ -25,14 +25,16 @@ folded in shares of the batches, so that of equal windows a few reach the bucket
 from __future__ import annotations
 
 import hashlib
+import json
 import struct
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspan.llm.common import durable, slices
@@ -248,9 +250,13 @@ class SuffixLevels:
         self.levels.append(level)
 
 
-def _shared_anchors(pdf: pd.DataFrame, hot: int) -> pd.DataFrame:
-    """A bucket's answer to each batch: its anchors that another document has too."""
+def _shared_anchors(pdf: pd.DataFrame, hot: int, since: int | None = None) -> pd.DataFrame:
+    """A bucket's answer to each batch: its anchors that another document has too (and a batch from ``since`` on)."""
     parts = [np.frombuffer(_expand(b), np.uint32) for b in pdf["blob"]]
+    if since is not None:
+        new = [p for batch, p in zip(pdf["batch"], parts) if batch >= since]
+        wanted = np.unique(np.concatenate(new)) if new else np.zeros(0, np.uint32)
+        parts = [p if batch >= since else p[np.isin(p, wanted, assume_unique=False)] for batch, p in zip(pdf["batch"], parts)]
     _, inverse, counts = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
     times = counts[inverse]
     ends = np.cumsum([len(p) for p in parts])
@@ -425,11 +431,8 @@ def _with_blobs(batches: DataFrame, blobs: DataFrame) -> DataFrame:
     return batches.join(listed, "batch", "left")
 
 
-def _found(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int, batch_bytes: int, bucket_bytes: int, hot: int, level: int) -> DataFrame:
-    """(batch, payload, blobs): each batch with its repeated runs of windows."""
-    batches = durable(_batches(docs, text_col, batch_bytes))
-    total = batches.agg(F.sum("n_bytes")).first()[0] or 0
-    buckets = max(8, -(-total // bucket_bytes))
+def _sent(batches: DataFrame, id_col: str, text_col: str, length: int, gram: int, buckets: int) -> DataFrame:
+    """(bucket, batch, blob): the anchors of each batch, by their buckets."""
 
     def send(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in found:
@@ -457,8 +460,15 @@ def _found(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int,
                     if len(b):
                         yield pa.RecordBatch.from_pydict({"bucket": pa.array([int(b[0])], pa.int64()), "batch": pa.array([batch], pa.int64()), "blob": pa.array([_squeeze(l)], pa.binary())})
 
-    sent = batches.select("batch", "payload").mapInArrow(send, "bucket long, batch long, blob binary")
-    answers = durable(sent.groupBy("bucket").applyInPandas(lambda pdf: _shared_anchors(pdf, hot), "batch long, bucket long, hot boolean, blob binary"))
+    return batches.select("batch", "payload").mapInArrow(send, "bucket long, batch long, blob binary")
+
+
+def _settled(batches: DataFrame, sent: DataFrame, id_col: str, text_col: str, length: int, gram: int, buckets: int, hot: int, level: int, since: int | None = None) -> DataFrame:
+    """(batch, blob): the repeated runs of windows of the batches, or of those from ``since`` on.
+
+    Then batches before it only take part where they share an anchor with those.
+    """
+    answers = durable(sent.groupBy("bucket").applyInPandas(lambda pdf: _shared_anchors(pdf, hot, since), "batch long, bucket long, hot boolean, blob binary"))
 
     def stretch(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in found:
@@ -470,7 +480,10 @@ def _found(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int,
 
     # One plan from here on: both joins read the same exchange of the batches.
     batches = batches.select("batch", "payload")
-    stretches = _with_blobs(batches, answers).select("batch", "payload", "blobs").mapInArrow(stretch, "bucket long, batch long, blob binary")
+    listed = _with_blobs(batches, answers)
+    if since is not None:
+        listed = listed.where(F.col("blobs").isNotNull())
+    stretches = listed.select("batch", "payload", "blobs").mapInArrow(stretch, "bucket long, batch long, blob binary")
     if answers.where("hot").limit(1).count():
         # Windows of hot anchors, in buckets of their own, are folded in shares of the batches before each bucket has them all.
         stretches = durable(stretches)
@@ -484,21 +497,134 @@ def _found(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int,
                 break
             n = left
     indexed = stretches.groupBy("bucket").applyInPandas(lambda pdf: _indexed(pdf, length, level), "batch long, blob binary")
-    return _with_blobs(batches, indexed.select("batch", F.lit(0).cast("long").alias("bucket"), "blob"))
+    if since is not None:
+        indexed = indexed.where(F.col("batch") >= since)
+    return indexed.select("batch", F.lit(0).cast("long").alias("bucket"), "blob")
 
 
-def _run(docs: DataFrame, schema, make: Callable[[pa.RecordBatch, dict[str, list]], pa.RecordBatch], id_col: str, text_col: str, options: dict[str, int]) -> DataFrame:
-    o = {"length": LENGTH, "gram": GRAM, "batch_bytes": BATCH_BYTES, "bucket_bytes": BUCKET_BYTES, "hot": HOT_BATCHES, "level": LEVEL} | options
-    if o["gram"] % 8 or o["gram"] > o["length"]:
-        raise ValueError("gram is a multiple of 8, at most length")
-    found = _found(docs, id_col, text_col, **o)
+def _found(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int, batch_bytes: int, bucket_bytes: int, hot: int, level: int) -> DataFrame:
+    """(batch, payload, blobs): each batch with its repeated runs of windows."""
+    batches = durable(_batches(docs, text_col, batch_bytes))
+    total = batches.agg(F.sum("n_bytes")).first()[0] or 0
+    buckets = max(8, -(-total // bucket_bytes))
+    batches = batches.select("batch", "payload")
+    sent = _sent(batches, id_col, text_col, length, gram, buckets)
+    return _with_blobs(batches, _settled(batches, sent, id_col, text_col, length, gram, buckets, hot, level))
+
+
+class Index:
+    """A family of levels in one folder that takes batch after batch of documents.
+
+    Each level holds documents and the anchors of their windows; a new batch
+    is a level of its own, and levels are merged while the one before isn't
+    more than twice as large, so there are few and each document is rewritten
+    a logarithmic number of times.  Anchors of a new batch are looked up in all
+    levels, and of older documents only those are opened that share one; their
+    stretches and the new ones meet in the suffix arrays.
 
+    A manifest tells which folders hold; it is written last, so a call that
+    breaks off leaves the index as it was.  One writer at a time.  The number
+    of buckets holds for the life of an index: about one for every
+    ``BUCKET_BYTES`` it will have.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 1024, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, batch_bytes: int = BATCH_BYTES, hot: int = HOT_BATCHES, level: int = LEVEL) -> None:
+        self.spark, self.path, self.id_col, self.text_col = spark, path, id_col, text_col
+        self.length, self.gram, self.batch_bytes, self.hot, self.level = length, gram, batch_bytes, hot, level
+        self.buckets = (self._manifest() or {"buckets": buckets})["buckets"]
+
+    def _files(self):
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.path)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
+
+    def _manifest(self) -> dict | None:
+        fs, make = self._files()
+        folder = make(f"{self.path}/manifest")
+        if not fs.exists(folder):
+            return None
+        names = [f.getPath().getName() for f in fs.listStatus(folder)]
+        done = sorted(n for n in names if fs.exists(make(f"{self.path}/manifest/{n}/_SUCCESS")))
+        return json.loads(self.spark.read.text(f"{self.path}/manifest/{done[-1]}").first()[0]) if done else None
+
+    def levels(self) -> list[int]:
+        """The bytes of text in each level, the oldest first."""
+        return [n for _, n in (self._manifest() or {"levels": []})["levels"]]
+
+    def add(self, docs: DataFrame) -> DataFrame:
+        """Index ``docs``, and give the rows of ``removed`` for them.
+
+        What counts are documents of smaller id in this batch, and all of the
+        batches before, whose ids have to be smaller.  An empty batch changes
+        nothing.  Null ids are kept and match nothing, as in ``removed``.
+        """
+        rows = _id_and_text(docs, self.id_col, self.text_col)
+        kind = dict(rows.dtypes)["doc_id"]
+        old = self._manifest() or {"levels": [], "buckets": self.buckets, "next": 0, "last": None, "version": 0}
+        ends = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
+        if None not in (ends[0], old["last"]) and ends[0] <= old["last"]:
+            raise ValueError(f"id {ends[0]} isn't beyond {old['last']}")
+        name = f"{self.path}/level-{old['version'] + 1}"
+        shift = old["next"] << 48
+        _batches(rows, "text", self.batch_bytes).withColumn("batch", F.col("batch") + shift).write.mode("overwrite").parquet(f"{name}/batches")
+        new = self.spark.read.parquet(f"{name}/batches")
+        size = new.agg(F.sum("n_bytes")).first()[0] or 0
+        new = new.select("batch", "payload")
+        plan = ("doc_id", "text", self.length, self.gram, self.buckets)
+        _sent(new, *plan).write.mode("overwrite").parquet(f"{name}/anchors")
+        before = [folder for folder, _ in old["levels"]]
+        batches = reduce(DataFrame.unionAll, [self.spark.read.parquet(f"{f}/batches").select("batch", "payload") for f in before], new)
+        sent = reduce(DataFrame.unionAll, [self.spark.read.parquet(f"{f}/anchors") for f in [*before, name]])
+        runs = durable(_settled(batches, sent, *plan, self.hot, self.level, shift))
+        out = durable(_with_blobs(new, runs).select("payload", "blobs").mapInArrow(_cutter(_digest, "doc_id", "text", self.length), f"doc_id {kind}, {_DIGEST}"))
+        if size or ends[1] is not None:
+            self._join([*old["levels"], [name, size]], old, ends[1])
+        return out
+
+    def _join(self, levels: list[list], old: dict, last: int | None) -> None:
+        """Merge levels of like sizes, and let the new ones hold."""
+        version, gone = old["version"] + 1, []
+        while len(levels) > 1 and levels[-2][1] <= 2 * levels[-1][1]:
+            (a, n), (b, m) = levels[-2:]
+            name = f"{self.path}/level-{version}-{len(levels)}"
+            for part in ("batches", "anchors"):
+                self.spark.read.parquet(f"{a}/{part}").unionAll(self.spark.read.parquet(f"{b}/{part}")).write.mode("overwrite").parquet(f"{name}/{part}")
+            levels, gone = [*levels[:-2], [name, n + m]], [*gone, a, b]
+        made = {"levels": levels, "buckets": self.buckets, "next": old["next"] + 1, "last": last if last is not None else old["last"], "version": version}
+        self.spark.createDataFrame([(json.dumps(made),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/manifest/{version:09d}")
+        fs, make = self._files()
+        for folder in gone:
+            fs.delete(make(folder), True)
+
+
+def _id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+
+_DIGEST = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+
+
+def _digest(batch: pa.RecordBatch, made: dict[str, list]) -> pa.RecordBatch:
+    digests = [hashlib.sha256(k).hexdigest() for k in made["kept"]]
+    ints = [pa.array(made[k], pa.int64()) for k in ("n_bytes", "n_removed", "n_spans")]
+    return pa.RecordBatch.from_arrays([batch.column(0), *ints, pa.array(digests, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+
+def _cutter(make: Callable[[pa.RecordBatch, dict[str, list]], pa.RecordBatch], id_col: str, text_col: str, length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for payload, blobs in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                yield make(*_cut(payload, [x["blob"] for x in blobs or []], id_col, text_col, o["length"]))
+                yield make(*_cut(payload, [x["blob"] for x in blobs or []], id_col, text_col, length))
 
-    return found.select("payload", "blobs").mapInArrow(cut, schema)
+    return cut
+
+
+def _run(docs: DataFrame, schema, make: Callable[[pa.RecordBatch, dict[str, list]], pa.RecordBatch], id_col: str, text_col: str, options: dict[str, int]) -> DataFrame:
+    o = {"length": LENGTH, "gram": GRAM, "batch_bytes": BATCH_BYTES, "bucket_bytes": BUCKET_BYTES, "hot": HOT_BATCHES, "level": LEVEL} | options
+    if o["gram"] % 8 or o["gram"] > o["length"]:
+        raise ValueError("gram is a multiple of 8, at most length")
+    found = _found(docs, id_col, text_col, **o)
+    return found.select("payload", "blobs").mapInArrow(_cutter(make, id_col, text_col, o["length"]), schema)
 
 
 def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
@@ -512,15 +638,8 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **o
     rows and empty texts are kept, other columns ignored; an empty table gives
     an empty result.  Ids are integers.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    kind = dict(rows.dtypes)["doc_id"]
-
-    def make(batch: pa.RecordBatch, made: dict[str, list]) -> pa.RecordBatch:
-        digests = [hashlib.sha256(k).hexdigest() for k in made["kept"]]
-        ints = [pa.array(made[k], pa.int64()) for k in ("n_bytes", "n_removed", "n_spans")]
-        return pa.RecordBatch.from_arrays([batch.column(0), *ints, pa.array(digests)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    return _run(rows, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string", make, "doc_id", "text", options)
+    rows = _id_and_text(docs, id_col, text_col)
+    return _run(rows, f"doc_id {dict(rows.dtypes)['doc_id']}, {_DIGEST}", _digest, "doc_id", "text", options)
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:

@@ -67,6 +67,25 @@ def test_repeats_with_other_lengths(spark):
     assert got_repeats(frame(spark, docs), length=24, gram=8) == brute_repeats(docs, 24)
 
 
+@pytest.mark.parametrize("hot", [1, 2000])
+def test_an_index_takes_further_batches(spark, tmp_path, hot):
+    """Batch after batch gives what all documents at once do; levels stay few and grow geometrically."""
+    docs = sorted((i, t) for i, t in mixed(4, 90) if i >= 0)
+    docs = [(k, t) for k, (_, t) in enumerate(docs)] + [(None, docs[3][1])]
+    path, got, at = str(tmp_path / "index"), Counter(), 0
+    for n in (30, 10, 10, 0, 20, len(docs)):
+        index = repeats.Index(spark, path, 16, batch_bytes=900, hot=hot, level=64)  # reopened each time
+        rows = index.add(frame(spark, docs[at : at + n]).repartition(2)).collect()
+        assert len(rows) == len(docs[at : at + n])
+        got += Counter((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows)
+        at += n
+    assert got == brute_repeats(docs)
+    sizes = index.levels()
+    assert sum(sizes) == sum(len(t.encode()) for _, t in docs) and all(a > 2 * b for a, b in zip(sizes, sizes[1:]))
+    with pytest.raises(ValueError):
+        index.add(frame(spark, [(5, "an id from before")]))
+
+
 def test_the_largest_id_is_an_id(spark):
     passage = "a passage of more than fifty bytes that two of the documents hold"
     docs = [(2**63 - 1, passage), (2**63 - 2, passage), (None, passage), (-(2**63), "x" + passage)]
