@@ -223,3 +223,53 @@ def test_dictionary_keeps_the_words_that_save_most(spark):
             want.append(w)
             held += len(w) + 1
         assert lm_scoring.dictionary(counts, "n", size).decode().split() == want[::-1]
+
+
+def test_pipeline_against_brute_force(spark, small):
+    """All five stages at once, each followed slowly: whole-text states, all pairs, all windows, all items, the library."""
+    import sentencepiece
+
+    import corpus_pipeline
+    from larkspan.llm import decontamination as DC
+    from larkspan.llm import near_duplicates as N
+
+    rows = spark.read.parquet(f"{small}/documents.parquet").orderBy("doc_id").collect()
+    reader = language_id.Reader(language_id.fit(spark.read.parquet(f"{small}/documents.parquet")))
+    docs = [(r.doc_id, r.text) for r in rows if r.text and language_id.has_letter(r.text)]
+    sure = {i: reader.positions(t.encode()).mean(0).max() for i, t in docs}
+    assert all(abs(p - 0.5) > 0.03 for p in sure.values())  # none is so near the bar that segments could decide
+    docs = [(i, t) for i, t in docs if sure[i] >= 0.5]
+    sets = [N.Shingles().set(t) for _, t in docs]
+    parent = list(range(len(docs)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(docs)):
+        for b in range(a):
+            if docs[a][1] == docs[b][1] or N.jaccard(sets[a], sets[b]) >= 0.8:
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    docs = [d for k, d in enumerate(docs) if root(k) == k]
+    seen, left = set(), []
+    for i, t in docs:
+        raw = t.encode()
+        own = [raw[p : p + 50] for p in range(len(raw) - 49)]
+        gone = bytearray(len(raw))
+        for p, g in enumerate(own):
+            if g in seen:
+                gone[p : p + 50] = b"\1" * 50
+        seen.update(own)
+        kept = bytes(c for c, g in zip(raw, gone) if not g).decode("utf-8", "ignore") if any(gone) else t
+        if kept:
+            left.append((i, kept))
+    items = [n for r in spark.read.parquet(f"{small}/benchmark.parquet").collect() if (n := DC.normalise(r.text or ""))]
+    vectors = [(DC._peq(x), len(x), int(DC.MAX_ERROR_RATE * len(x))) for x in items]
+    docs = [(i, t) for i, t in left if not any(DC._myers(peq, m, DC.normalise(t))[0] <= budget for peq, m, budget in vectors)]
+    library = sentencepiece.SentencePieceProcessor(model_file=queries.tokenizer_path("piece_bpe_32k.model"))
+    found = corpus_pipeline.run(spark, small)
+    ids = next(f.name for f in found.schema if f.dataType.simpleString().startswith("array"))
+    got = {r.doc_id: list(r[ids]) for r in found.collect()}
+    assert got == {i: library.encode(t) for i, t in docs} and len(docs) > 100
