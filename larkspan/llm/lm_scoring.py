@@ -3,8 +3,11 @@
 A text's cross-entropy under a corpus is taken as the bits a byte that
 zstandard needs for it with a dictionary of that corpus.  Two dictionaries are
 built, one from in-domain documents and one from all: the words of *every*
-document are counted in one distributed aggregation, and a dictionary's raw
-content is the words by which it saves most bytes, the best ones last, where
+document are counted in one distributed aggregation.  What both dictionaries
+would hold alike tells nothing, so a dictionary's raw content is first the words
+of its side by which most bytes are saved *against the other side*: savings
+times the logarithm of how much more frequent the word is there.  What room is
+left goes to the words that save most anywhere.  The best ones come last, where
 zstandard reaches them most cheaply.  The score is the difference of the two
 sizes over the size without a dictionary; higher is more in-domain.
 """
@@ -57,11 +60,14 @@ def word_counts(docs: DataFrame, in_domain: Column, text_col: str = "text") -> D
     return words.select(F.explode(_pieces(F.col("run"))).alias("word"), "in").groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("in").alias("n_in"))
 
 
-def dictionary(counts: DataFrame, column: str, size: int = DICTIONARY_BYTES) -> bytes:
-    """Raw content: the words that save most, the best last.  At most ``size`` bytes."""
-    saved = F.col(column) * F.char_length("word")
+def dictionary(counts: DataFrame, column: str, size: int = DICTIONARY_BYTES, weight: Column | None = None) -> bytes:
+    """Raw content: the words that save most, the best last.  At most ``size`` bytes.
+
+    Savings are multiplied by ``weight``; words of none or less aren't taken.
+    """
+    saved = F.col(column) * F.char_length("word") * (F.lit(1.0) if weight is None else weight)
     step = F.floor(F.log(saved) * 16).alias("step")
-    found = counts.where(F.col(column) > 1)
+    found = counts.where((F.col(column) > 1) & (saved > 0))
     # A histogram tells which words can fit at all, so that no task offers more than its share of them.
     room, least = size, 0
     for r in sorted(found.groupBy(step).agg(F.sum(F.octet_length("word") + 1).alias("bytes")).collect(), reverse=True):
@@ -93,11 +99,18 @@ def dictionaries(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     rows = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
     joined = rows.join(F.broadcast(marked) if few else marked, F.col("_doc") == F.col("_id"), "left").select("text", "_in")
     counts = durable(word_counts(joined, F.col("_in")).where("n > 1"))
+    sums = counts.agg(F.sum(F.col("n") * (F.octet_length("word") + 1)).alias("bytes"), F.sum("n").alias("n"), F.sum("n_in").alias("in")).first()
     if size is None:
-        size = max(DICTIONARY_BYTES, (counts.agg(F.sum(F.col("n") * (F.octet_length("word") + 1))).first()[0] or 0) // CORPUS_BYTES)
+        size = max(DICTIONARY_BYTES, (sums.bytes or 0) // CORPUS_BYTES)
     if 2 * size > MAX_BROADCAST_BYTES:
         raise ValueError(f"the dictionaries have {2 * size} bytes")
-    return dictionary(counts, "n_in", size), dictionary(counts, "n", size)
+    ratio = F.log((F.col("n_in") + 0.5) * max(1, sums.n or 0) / ((F.col("n") + 0.5) * max(1, sums["in"] or 0)))
+
+    def content(column: str, weight: Column) -> bytes:
+        apart = dictionary(counts, column, size, weight)
+        return dictionary(counts.where(weight <= 0), column, size - len(apart)) + apart
+
+    return content("n_in", ratio), content("n", -ratio)
 
 
 class Scorer:

@@ -273,3 +273,20 @@ def test_pipeline_against_brute_force(spark, small):
     ids = next(f.name for f in found.schema if f.dataType.simpleString().startswith("array"))
     got = {r.doc_id: list(r[ids]) for r in found.collect()}
     assert got == {i: library.encode(t) for i, t in docs} and len(docs) > 100
+
+
+def test_dictionaries_hold_what_tells_the_sides_apart(spark):
+    """More common words than a dictionary holds; rare ones of either side decide, on documents not used for it."""
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    common, good, bad = [word(7) for _ in range(900)], [word(6) for _ in range(60)], [word(6) for _ in range(60)]
+    docs = [(i, " ".join(rng.choice(common if rng.random() < 0.8 else good if i % 2 else bad) for _ in range(120))) for i in range(300)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id long, quality int")
+    inside, general = lm_scoring.dictionaries(frame(spark, docs), labels, size=3000)
+    assert sum(w.encode() in inside for w in good) > 50 > 5 > sum(w.encode() in inside for w in bad) and sum(w.encode() in general for w in bad) > 50
+    scores = {r.doc_id: r.score for r in lm_scoring.score(frame(spark, docs), inside, general).collect()}
+    rest = sorted(range(100, 300), key=scores.get)
+    assert sum(i % 2 for i in rest[100:]) >= 95
+    everything = spark.createDataFrame([(i, 1) for i in range(300)], "doc_id long, quality int")
+    alike = lm_scoring.dictionaries(frame(spark, docs), everything, size=3000)
+    assert alike[0] == alike[1] != b""
