@@ -4,11 +4,14 @@ A byte is removed if it lies in a string of ``LENGTH`` bytes that also starts in
 a document of smaller id.  Every window of ``LENGTH`` bytes has an *anchor*, the
 ``GRAM``-byte string in it of least hash: equal windows have equal anchors at
 equal places, so documents can only share a window if they share its anchor.
+In a large corpus so few bytes are shared by chance, so an anchor counts with its
+*context*, the 33 or 34 bytes around it that lie in the window.
 
 1. Batches of documents are written once, compressed.  Each batch sends the
-   hashes of its anchors (one per 18 bytes of text, four bytes each) to hash
-   buckets, which answer with the anchors that another document has too.
-2. For those anchors alone a batch sends its *stretches*: the windows that
+   hashes of its contexts (one per 12 bytes of text, less than four bytes each)
+   to the hash buckets of their anchors, which answer with a bit for each: does
+   another document have it too?
+2. For those contexts alone a batch sends its *stretches*: the windows that
    share one occurrence of an anchor, as one string.  Of equal stretches in a
    batch only that of the least id travels; the others are settled there.  A
    bucket indexes its stretches by a logarithmic family of suffix arrays: in
@@ -17,16 +20,19 @@ equal places, so documents can only share a window if they share its anchor.
    them, levels of equal size being merged.
 3. What was found goes back to the batches, which cut it out.
 
-An anchor that very many batches share would draw all their stretches into one
+A context that very many batches share would draw all their stretches into one
 bucket; its windows are sent one by one instead, spread by their own hashes, and
 folded in shares of the batches, so that of equal windows a few reach the bucket.
+They are read off the batches by themselves: nothing else is written for them.
 """
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import struct
+import time
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -44,8 +50,10 @@ LENGTH, GRAM = 50, 16
 BATCH_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
 #: Suffixes of the index's smallest level.
 LEVEL = 1 << 15
-#: An anchor in more batches than this has its windows spread one by one.
+#: A context in more batches than this has its windows spread one by one.
 HOT_BATCHES = 2_000
+#: With fewer buckets than this, shuffle files are too small to be freed early.
+FREED_BUCKETS = 64
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -111,17 +119,21 @@ def _earlier(data: np.ndarray, begin: np.ndarray, size: np.ndarray, doc: np.ndar
     return out
 
 
-def anchors(data: np.ndarray, starts: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Maximal runs of windows with one anchor: (hash, first window, last window, document) of each.
+def anchors(data: np.ndarray, starts: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """Maximal runs of windows with one anchor and one context: (anchor's hash, context's hash, first window, last window, document) of each.
 
-    ``data`` holds documents back to back, ``starts`` where each begins, and
-    its end; windows that cross a border don't count.
+    A window's *context* is the first occurrence of its anchor with half of the
+    window's other bytes: those before it if the window has them, else those
+    after it.  Equal windows have equal contexts.  ``data`` holds documents back
+    to back, ``starts`` where each begins, and its end; windows that cross a
+    border don't count.
     """
     sizes = np.diff(starts)
     if not len(data) or not (sizes >= length).any():
         none = np.zeros(0, np.int64)
-        return none.astype(np.uint64), none, none, none
-    least = gram_hashes(data, gram)
+        return none.astype(np.uint64), none.astype(np.uint64), none, none, none
+    grams = gram_hashes(data, gram)
+    least = grams.copy()
     span, reach = 1, length - gram + 1
     while 2 * span <= reach:
         np.minimum(least[:-span], least[span:], out=least[:-span])
@@ -134,12 +146,29 @@ def anchors(data: np.ndarray, starts: np.ndarray, length: int = LENGTH, gram: in
     np.add.at(outside, ends, -1)
     new = np.ones(len(data), bool)
     np.not_equal(least[1:], least[:-1], out=new[1:])
+    new[1:] |= grams[:-1] == least[:-1]  # the occurrence is left behind; the anchor may occur again
     new[starts[:-1][sizes > 0]] = True
     new &= np.cumsum(outside[:-1], dtype=np.int32) == 0
     first = np.flatnonzero(new)
     owner = np.searchsorted(starts, first, "right") - 1
     last = np.minimum(np.append(first[1:] - 1, len(data)), ends[owner] - length)
-    return least[first], first, last, owner
+    value, place = least[first], last.copy()
+    seek = np.flatnonzero(grams[place] != value)
+    while len(seek):
+        place[seek] += 1
+        seek = seek[grams[place[seek]] != value[seek]]
+    # Windows that begin ``before`` bytes or more ahead of the anchor, and the rest.
+    before = (length - gram) // 2
+    after = length - gram - before + 1
+    turn = np.clip(place - before + 1, first, last + 1)
+    left, right = np.flatnonzero(turn > first), np.flatnonzero(turn <= last)
+    run = np.concatenate([left, right])
+    begin = np.concatenate([place[left] - before, place[right]])
+    size = np.repeat(np.array([gram + before, gram + after]), [len(left), len(right)])
+    context = string_hashes(data, begin, size)
+    order = np.argsort(run, kind="stable")
+    run = run[order]
+    return value[run], context[order], np.concatenate([first[left], turn[right]])[order], np.concatenate([turn[left] - 1, last[right]])[order], owner[run]
 
 
 def _ids(batch: pa.RecordBatch, id_col: str) -> tuple[np.ndarray, np.ndarray]:
@@ -206,9 +235,33 @@ def _expand(blob: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(blob[8:], max_output_size=struct.unpack("<q", blob[:8])[0]) if blob[:8] != b"\0" * 8 else b""
 
 
-def _place(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of each hash, and the 32 bits that tell hashes of a bucket apart."""
-    return ((hashes >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64), hashes.astype(np.uint32)
+def _pack(low: np.ndarray) -> bytes:
+    """Sorted 32-bit hashes: steps, their bytes of one rank together."""
+    steps = np.diff(low.astype(np.int64), prepend=0).astype("<u4")
+    return _squeeze(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 4).T))
+
+
+def _unpack(blob: bytes) -> np.ndarray:
+    steps = np.ascontiguousarray(np.frombuffer(_expand(blob), np.uint8).reshape(4, -1).T).view("<u4")
+    return np.cumsum(steps.ravel(), dtype=np.int64).astype(np.uint32)
+
+
+def _place(value: np.ndarray, context: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket of each anchor, and the 32 bits that tell the contexts of a bucket apart."""
+    return ((value >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64), context.astype(np.uint32)
+
+
+def _asked(bucket: np.ndarray, low: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What a batch asks the buckets, sorted: each context once, twice if two documents of the batch have it."""
+    order = np.lexsort((doc, low, bucket))
+    bucket, low, doc = bucket[order], low[order], doc[order]
+    head = np.ones(len(low), bool)
+    head[1:] = (low[1:] != low[:-1]) | (bucket[1:] != bucket[:-1])
+    starts = np.flatnonzero(head)
+    second = np.zeros(len(low), bool)
+    second[1:] = ~head[1:] & (doc[1:] != doc[:-1])
+    times = 1 + (np.add.reduceat(second, starts) > 0) if len(starts) else np.zeros(0, np.int64)
+    return np.repeat(bucket[starts], times), np.repeat(low[starts], times)
 
 
 class SuffixLevels:
@@ -250,55 +303,57 @@ class SuffixLevels:
         self.levels.append(level)
 
 
-def _shared_anchors(pdf: pd.DataFrame, hot: int, since: int | None = None) -> pd.DataFrame:
-    """A bucket's answer to each batch: its anchors that another document has too (and a batch from ``since`` on)."""
-    parts = [np.frombuffer(_expand(b), np.uint32) for b in pdf["blob"]]
+def _shared_contexts(pdf: pd.DataFrame, hot: int, since: int | None = None) -> pd.DataFrame:
+    """A bucket's answer to each batch, bits for what it asked: which contexts another document has too (and a batch from ``since`` on), and which of them very many batches have."""
+    parts = [_unpack(b) for b in pdf["blob"]]
+    keeps = [np.ones(len(p), bool) for p in parts]
     if since is not None:
         new = [p for batch, p in zip(pdf["batch"], parts) if batch >= since]
         wanted = np.unique(np.concatenate(new)) if new else np.zeros(0, np.uint32)
-        parts = [p if batch >= since else p[np.isin(p, wanted, assume_unique=False)] for batch, p in zip(pdf["batch"], parts)]
-    _, inverse, counts = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
-    times = counts[inverse]
-    ends = np.cumsum([len(p) for p in parts])
+        keeps = [keep if batch >= since else np.isin(p, wanted) for batch, p, keep in zip(pdf["batch"], parts, keeps)]
+    _, inverse, counts = np.unique(np.concatenate([p[keep] for p, keep in zip(parts, keeps)]), return_inverse=True, return_counts=True)
+    ends = np.cumsum([keep.sum() for keep in keeps])
     rows = []
-    for batch, part, n in zip(pdf["batch"], parts, np.split(times, ends[:-1])):
-        keep = n > 1
-        keep[1:] &= part[1:] != part[:-1]  # sent twice by one batch
-        if keep.any():
-            rows.append((batch, pdf["bucket"].iloc[0], bool((n[keep] > hot).any()), _squeeze(np.int32([keep.sum()]), part[keep], n[keep] > hot)))
+    for batch, keep, n in zip(pdf["batch"], keeps, np.split(counts[inverse], ends[:-1])):
+        if (n > 1).any():
+            shared, busy = keep.copy(), keep.copy()
+            shared[keep], busy[keep] = n > 1, n > hot
+            rows.append((batch, pdf["bucket"].iloc[0], bool(busy.any()), _squeeze(np.packbits(shared), np.packbits(busy))))
     return pd.DataFrame(rows, columns=["batch", "bucket", "hot", "blob"])
 
 
-def _stretches(batch: int, payload: bytes, answers: list[tuple[int, bytes]], id_col: str, text_col: str, length: int, gram: int, buckets: int) -> tuple[list[tuple[int, bytes]], bytes | None]:
-    """What a batch sends to the buckets, and the runs of windows settled in it."""
+def _stretches(batch: int, payload: bytes, answers: list[tuple[int, bytes]], id_col: str, text_col: str, length: int, gram: int, buckets: int, busy: bool = False) -> tuple[list[tuple[int, bytes]], bytes | None]:
+    """What a batch sends to the buckets, and the runs of windows settled in it.
+
+    Either the stretches of shared contexts, or (``busy``) the windows of those
+    that very many batches have.
+    """
     rows = _open(payload)
     ids, has_id = _ids(rows, id_col)
     data, starts = _texts(rows, text_col)
-    value, first, last, owner = anchors(data, starts, length, gram)
-    bucket, low = _place(value, buckets)
-    wanted, hot = np.zeros(len(value), bool), np.zeros(len(value), bool)
+    value, context, first, last, owner = anchors(data, starts, length, gram)
+    value, context, first, last, owner = (x[has_id[owner]] for x in (value, context, first, last, owner))
+    bucket, low = _place(value, context, buckets)
+    wanted = np.zeros(len(value), bool)
+    asked_bucket, asked = _asked(bucket, low, ids[owner])
+    asked_edges = np.searchsorted(asked_bucket, np.arange(buckets + 1))
     order = np.argsort(bucket, kind="stable")
     edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
     for b, blob in answers:
-        raw = _expand(blob)
-        n = struct.unpack_from("<i", raw)[0]
-        shared, busy = np.frombuffer(raw, np.uint32, n, 4), np.frombuffer(raw, bool, n, 4 + 4 * n)
-        mine = order[edges[b] : edges[b + 1]]
-        at = np.searchsorted(shared, low[mine])
-        at[at == n] = 0
-        hit = shared[at] == low[mine]
-        wanted[mine], hot[mine] = hit, hit & busy[at]
-    wanted &= has_id[owner]
+        mine, known = order[edges[b] : edges[b + 1]], asked[asked_edges[b] : asked_edges[b + 1]]
+        shared, many = (np.unpackbits(x, count=len(known)).astype(bool) for x in np.frombuffer(_expand(blob), np.uint8).reshape(2, -1))
+        wanted[mine] = (many if busy else shared & ~many)[np.searchsorted(known, low[mine])]
     chosen = np.flatnonzero(wanted)
-    p, q, to, busy = first[chosen], last[chosen], bucket[chosen], hot[chosen]
-    if busy.any():  # windows one by one
-        n = np.where(busy, q - p + 1, 1)
-        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        chosen, busy, to = np.repeat(chosen, n), np.repeat(busy, n), np.repeat(to, n)
-        p = np.repeat(p, n) + step
-        q = np.where(busy, p, np.repeat(q, n))
-        to[busy] = -1
-    row = owner[chosen]
+    p, q, to, row = first[chosen], last[chosen], bucket[chosen], owner[chosen]
+    if busy:  # windows one by one
+        n = q - p + 1
+        p, row = np.repeat(p - np.cumsum(n) + n, n) + np.arange(n.sum()), np.repeat(row, n)
+        q, to = p, np.full(len(p), -1)
+    elif len(p):  # an anchor's contexts side by side are one stretch
+        v = value[chosen]
+        new = np.append(True, (v[1:] != v[:-1]) | (row[1:] != row[:-1]) | (p[1:] != q[:-1] + 1))
+        q = q[np.append(new[1:], True)]
+        p, to, row = p[new], to[new], row[new]
     order = np.argsort(ids[row], kind="stable")
     p, q, to, row = p[order], q[order], to[order], row[order]
     size = q - p + length
@@ -432,33 +487,21 @@ def _with_blobs(batches: DataFrame, blobs: DataFrame) -> DataFrame:
 
 
 def _sent(batches: DataFrame, id_col: str, text_col: str, length: int, gram: int, buckets: int) -> DataFrame:
-    """(bucket, batch, blob): the anchors of each batch, by their buckets."""
+    """(bucket, batch, blob): the contexts of each batch, by the buckets of their anchors."""
 
     def send(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in found:
             for batch, payload in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 rows = _open(payload)
                 data, starts = _texts(rows, text_col)
-                value, _, _, owner = anchors(data, starts, length, gram)
+                value, context, _, _, owner = anchors(data, starts, length, gram)
                 ids, has_id = _ids(rows, id_col)
-                value, owner = value[has_id[owner]], ids[owner[has_id[owner]]]
-                # Each anchor once, twice if two documents of the batch have it.
-                order = np.lexsort((owner, value))
-                value, owner = value[order], owner[order]
-                head = np.ones(len(value), bool)
-                head[1:] = value[1:] != value[:-1]
-                second = np.zeros(len(value), bool)
-                second[1:] = ~head[1:] & (owner[1:] != owner[:-1])
-                starts_ = np.flatnonzero(head)
-                again = np.add.reduceat(second, starts_) > 0 if len(starts_) else np.zeros(0, bool)
-                value = np.concatenate([value[starts_], value[starts_][again]])
-                bucket, low = _place(value, buckets)
-                order = np.lexsort((low, bucket))
-                bucket, low = bucket[order], low[order]
+                bucket, low = _place(value, context, buckets)
+                bucket, low = _asked(*(x[has_id[owner]] for x in (bucket, low, ids[owner])))
                 cuts = np.flatnonzero(np.diff(bucket)) + 1
                 for b, l in zip(np.split(bucket, cuts), np.split(low, cuts)):
                     if len(b):
-                        yield pa.RecordBatch.from_pydict({"bucket": pa.array([int(b[0])], pa.int64()), "batch": pa.array([batch], pa.int64()), "blob": pa.array([_squeeze(l)], pa.binary())})
+                        yield pa.RecordBatch.from_pydict({"bucket": pa.array([int(b[0])], pa.int64()), "batch": pa.array([batch], pa.int64()), "blob": pa.array([_pack(l)], pa.binary())})
 
     return batches.select("batch", "payload").mapInArrow(send, "bucket long, batch long, blob binary")
 
@@ -466,42 +509,62 @@ def _sent(batches: DataFrame, id_col: str, text_col: str, length: int, gram: int
 def _settled(batches: DataFrame, sent: DataFrame, id_col: str, text_col: str, length: int, gram: int, buckets: int, hot: int, level: int, since: int | None = None) -> DataFrame:
     """(batch, blob): the repeated runs of windows of the batches, or of those from ``since`` on.
 
-    Then batches before it only take part where they share an anchor with those.
+    Then batches before it only take part where they share a context with those.
     """
-    answers = durable(sent.groupBy("bucket").applyInPandas(lambda pdf: _shared_anchors(pdf, hot, since), "batch long, bucket long, hot boolean, blob binary"))
-
-    def stretch(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in found:
-            for batch, payload, blobs in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist()):
-                out, settled = _stretches(batch, payload, [(x["bucket"], x["blob"]) for x in blobs or []], id_col, text_col, length, gram, buckets)
-                out += [(-1 - batch % buckets, settled)] if settled is not None else []
-                for b, blob in out:
-                    yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int64()), "batch": pa.array([batch], pa.int64()), "blob": pa.array([blob], pa.binary())})
-
-    # One plan from here on: both joins read the same exchange of the batches.
+    answers = durable(sent.groupBy("bucket").applyInPandas(lambda pdf: _shared_contexts(pdf, hot, since), "batch long, bucket long, hot boolean, blob binary"))
+    _let_go(answers.sparkSession, buckets)
+    # One plan from here on: all joins read the same exchange of the batches.
     batches = batches.select("batch", "payload")
-    listed = _with_blobs(batches, answers)
-    if since is not None:
-        listed = listed.where(F.col("blobs").isNotNull())
-    stretches = listed.select("batch", "payload", "blobs").mapInArrow(stretch, "bucket long, batch long, blob binary")
+
+    def stretches(asked: DataFrame, busy: bool) -> DataFrame:
+        def stretch(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in found:
+                for batch, payload, blobs in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist()):
+                    if busy and not blobs:
+                        continue
+                    out, settled = _stretches(batch, payload, [(x["bucket"], x["blob"]) for x in blobs or []], id_col, text_col, length, gram, buckets, busy)
+                    out += [(-1 - batch % buckets, settled)] if settled is not None else []
+                    for b, blob in out:
+                        yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int64()), "batch": pa.array([batch], pa.int64()), "blob": pa.array([blob], pa.binary())})
+
+        listed = _with_blobs(batches, asked)
+        if since is not None:
+            listed = listed.where(F.col("blobs").isNotNull())
+        return listed.select("batch", "payload", "blobs").mapInArrow(stretch, "bucket long, batch long, blob binary")
+
+    sent_on = stretches(answers, False)
     if answers.where("hot").limit(1).count():
-        # Windows of hot anchors, in buckets of their own, are folded in shares of the batches before each bucket has them all.
-        stretches = durable(stretches)
-        n = stretches.where(F.col("bucket") >= buckets).groupBy("bucket").count().agg(F.max("count")).first()[0] or 0
+        # Windows of hot contexts, in buckets of their own, are folded in shares of the batches before each bucket has them all.
+        # They alone are written and exchanged on the way.
+        windows = durable(stretches(answers.where("hot"), True))
+        _let_go(answers.sparkSession, buckets)
+        n = windows.where(F.col("bucket") >= buckets).groupBy("bucket").count().agg(F.max("count")).first()[0] or 0
         while n > hot:
-            salted = stretches.where(F.col("bucket") >= buckets).withColumn("share", F.pmod(F.xxhash64("batch", F.lit(n)), F.lit(-(-n // hot))))
+            salted = windows.where(F.col("bucket") >= buckets).withColumn("share", F.pmod(F.xxhash64("batch", F.lit(n)), F.lit(-(-n // hot))))
             folded = salted.groupBy("bucket", "share").applyInPandas(lambda pdf: _folded(pdf.drop(columns="share"), length, buckets), "bucket long, batch long, blob binary")
-            stretches = durable(stretches.where(F.col("bucket") < buckets).unionAll(folded))
-            left = stretches.where(F.col("bucket") >= buckets).groupBy("bucket").count().agg(F.max("count")).first()[0] or 0
+            windows = durable(windows.where(F.col("bucket") < buckets).unionAll(folded))
+            del salted, folded  # they hold what was written before
+            _let_go(answers.sparkSession, buckets)
+            left = windows.where(F.col("bucket") >= buckets).groupBy("bucket").count().agg(F.max("count")).first()[0] or 0
             if left > n // 2:
                 break
             n = left
-    indexed = stretches.groupBy("bucket").applyInPandas(lambda pdf: _indexed(pdf, length, level), "batch long, blob binary")
+        sent_on = sent_on.unionAll(windows)
+    indexed = sent_on.groupBy("bucket").applyInPandas(lambda pdf: _indexed(pdf, length, level), "batch long, blob binary")
     if since is not None:
         indexed = indexed.where(F.col("batch") >= since)
     return indexed.select("batch", F.lit(0).cast("long").alias("bucket"), "blob")
 
 
+def _let_go(spark: SparkSession, buckets: int) -> None:
+    """Let shuffle files go of plans that were cut off: else they stay until the driver happens to collect its garbage."""
+    if buckets >= FREED_BUCKETS:
+        for _ in range(2):
+            gc.collect()
+            time.sleep(1.5)  # Py4J drops its references once a second
+            spark.sparkContext._jvm.System.gc()
+
+
 def _found(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int, batch_bytes: int, bucket_bytes: int, hot: int, level: int) -> DataFrame:
     """(batch, payload, blobs): each batch with its repeated runs of windows."""
     batches = durable(_batches(docs, text_col, batch_bytes))
@@ -515,10 +578,10 @@ def _found(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int,
 class Index:
     """A family of levels in one folder that takes batch after batch of documents.
 
-    Each level holds documents and the anchors of their windows; a new batch
+    Each level holds documents and the contexts of their windows; a new batch
     is a level of its own, and levels are merged while the one before isn't
     more than twice as large, so there are few and each document is rewritten
-    a logarithmic number of times.  Anchors of a new batch are looked up in all
+    a logarithmic number of times.  Contexts of a new batch are looked up in all
     levels, and of older documents only those are opened that share one; their
     stretches and the new ones meet in the suffix arrays.
 
@@ -571,10 +634,10 @@ class Index:
         size = new.agg(F.sum("n_bytes")).first()[0] or 0
         new = new.select("batch", "payload")
         plan = ("doc_id", "text", self.length, self.gram, self.buckets)
-        _sent(new, *plan).write.mode("overwrite").parquet(f"{name}/anchors")
+        _sent(new, *plan).write.mode("overwrite").parquet(f"{name}/contexts")
         before = [folder for folder, _ in old["levels"]]
         batches = reduce(DataFrame.unionAll, [self.spark.read.parquet(f"{f}/batches").select("batch", "payload") for f in before], new)
-        sent = reduce(DataFrame.unionAll, [self.spark.read.parquet(f"{f}/anchors") for f in [*before, name]])
+        sent = reduce(DataFrame.unionAll, [self.spark.read.parquet(f"{f}/contexts") for f in [*before, name]])
         runs = durable(_settled(batches, sent, *plan, self.hot, self.level, shift))
         out = durable(_with_blobs(new, runs).select("payload", "blobs").mapInArrow(_cutter(_digest, "doc_id", "text", self.length), f"doc_id {kind}, {_DIGEST}"))
         if size or ends[1] is not None:
@@ -587,7 +650,7 @@ class Index:
         while len(levels) > 1 and levels[-2][1] <= 2 * levels[-1][1]:
             (a, n), (b, m) = levels[-2:]
             name = f"{self.path}/level-{version}-{len(levels)}"
-            for part in ("batches", "anchors"):
+            for part in ("batches", "contexts"):
                 self.spark.read.parquet(f"{a}/{part}").unionAll(self.spark.read.parquet(f"{b}/{part}")).write.mode("overwrite").parquet(f"{name}/{part}")
             levels, gone = [*levels[:-2], [name, n + m]], [*gone, a, b]
         made = {"levels": levels, "buckets": self.buckets, "next": old["next"] + 1, "last": last if last is not None else old["last"], "version": version}

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from larkspan.llm import decontamination as DC
 from larkspan.llm import licenses, near_duplicates, queries, repeats
+from larkspan.llm.common import durable
 from rows import LONG, ODD, frame
 
 # repeats
@@ -102,6 +103,53 @@ def test_hot_windows_are_folded(spark, monkeypatch):
     assert got_repeats(frame(spark, docs).repartition(3), **options) == brute_repeats(docs)
 
 
+def shuffled(spark):
+    """Bytes that all stages so far wrote for a shuffle."""
+    jvm, store = spark.sparkContext._jvm, spark.sparkContext._jsc.sc().statusStore()
+    stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_strings_shared_by_chance_do_not_travel(spark):
+    """Of words like these every 16 bytes are in many documents, but hardly any 33 are."""
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=16)) for _ in range(60)]
+    docs = [(i, "".join(rng.choices(words, k=40))) for i in range(200)]
+    before = shuffled(spark)
+    assert got_repeats(frame(spark, docs).repartition(4), batch_bytes=8000) == brute_repeats(docs)
+    assert shuffled(spark) - before < 1.6 * sum(len(t) for _, t in docs)
+
+
+def test_only_hot_windows_are_written_on_the_way(spark, monkeypatch):
+    """Copies that two batches share aren't written again because all batches share a line."""
+    rng = random.Random(6)
+    line = "a line of a license that is in each and every one of the documents"
+    texts = ["".join(rng.choices("abcdefgh ", k=500)) for _ in range(30)]
+    docs = [(i, texts[i % 30] + line + str(i)) for i in range(60)]
+    made = []
+    monkeypatch.setattr(repeats, "durable", lambda df: made.append(durable(df)) or made[-1])
+    assert got_repeats(frame(spark, docs).repartition(6), batch_bytes=1200, bucket_bytes=1 << 30, hot=8) == brute_repeats(docs)
+    written = [df for df in made if df.columns == ["bucket", "batch", "blob"]]
+    assert written and all(df.where("bucket >= 8").count() for df in written)
+    assert sum(df.where("bucket between 0 and 7").count() for df in written) == 0
+
+
+@pytest.mark.parametrize(("length", "gram"), [(50, 16), (24, 8), (17, 16), (16, 16)])
+def test_equal_windows_have_equal_contexts(length, gram):
+    """Each window is in one run, and its bytes alone decide anchor and context."""
+    rng = random.Random(length)
+    texts = [t.encode() for _, t in mixed(2)] + [b"ab" * 90, b"abc" * 50, b"z" * 120, bytes(rng.choices(b"ab", k=3000)), b""]
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    starts = np.cumsum([0, *map(len, texts)])
+    seen, told = [], {}
+    for value, context, first, last, owner in zip(*(x.tolist() for x in repeats.anchors(data, starts, length, gram))):
+        for w in range(first, last + 1):
+            assert starts[owner] <= w and w + length <= starts[owner + 1]
+            assert told.setdefault(data[w : w + length].tobytes(), (value, context)) == (value, context)
+            seen.append(w)
+    assert seen == [p for a, b in zip(starts, starts[1:]) for p in range(a, b - length + 1)]
+
+
 def test_strings_of_one_hash_are_compared(monkeypatch):
     monkeypatch.setattr(repeats, "string_hashes", lambda data, begin, size: np.zeros(len(begin), np.uint64))
     data = np.frombuffer(b"abcdefghi" * 2 + b"abcdefgxx" + b"abcdefghi", np.uint8)
