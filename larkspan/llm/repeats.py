@@ -48,6 +48,8 @@ from larkspan.llm.common import durable, slices
 LENGTH, GRAM = 50, 16
 #: Bytes of text in a batch, and text per bucket.
 BATCH_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
+#: Bytes of text whose anchors are found at a time.
+PART_BYTES = 512 << 10
 #: Suffixes of the index's smallest level.
 LEVEL = 1 << 15
 #: A context in more batches than this has its windows spread one by one.
@@ -128,6 +130,16 @@ def anchors(data: np.ndarray, starts: np.ndarray, length: int = LENGTH, gram: in
     to back, ``starts`` where each begins, and its end; windows that cross a
     border don't count.
     """
+    parts, a = [_anchors(data[:0], starts[:1], length, gram)], 0
+    while a < len(starts) - 1:  # documents of a few hundred kB at a time, for memory
+        b = max(a + 1, int(np.searchsorted(starts, starts[a] + PART_BYTES, "right")) - 1)
+        value, context, first, last, owner = _anchors(data[starts[a] : starts[b]], starts[a : b + 1] - starts[a], length, gram)
+        parts.append((value, context, first + starts[a], last + starts[a], owner + a))
+        a = b
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def _anchors(data: np.ndarray, starts: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
     sizes = np.diff(starts)
     if not len(data) or not (sizes >= length).any():
         none = np.zeros(0, np.int64)
