@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from functools import reduce
-from itertools import count
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,6 +17,7 @@ from pyspark.sql import types as T
 
 from larkspan.errors import EngineError, StaticError
 from larkspan.functions.values import Scope
+from larkspan.operators import graph
 from larkspan.operators.attach import join_keys
 from larkspan.plans.dialects import from_mongo
 from larkspan.plans.predicates import Compiler
@@ -156,8 +156,15 @@ class Documents:
         return self._stripped(df if limit is None else df.limit(limit))
 
     def _pipeline(self, df: DataFrame, pipeline: Sequence[Mapping[str, Any]]) -> DataFrame:
-        for stage in pipeline:
-            name, spec = next(iter(stage.items()))
+        stages = [next(iter(s.items())) for s in pipeline]
+        for i, (name, spec) in enumerate(stages):
+            if name == "$graphLookup" and i + 1 < len(stages) and stages[i + 1][0] == "$project":
+                # A projection that only asks how many documents were reached doesn't need them.
+                projected = graph.sizes(stages[i + 1][1], spec["as"])
+                if projected is not None:
+                    stages[i + 1] = ("$project", projected)
+                    df = self._stage_graphLookup(df, spec, sized=True)
+                    continue
             run = getattr(self, "_stage_" + name[1:], None)
             if run is None:
                 raise StaticError("unknown_stage", name)
@@ -254,29 +261,11 @@ class Documents:
             parts.append(found.agg(F.collect_list(F.struct(*[F.col(f"`{c}`") for c in found.columns])).alias(name)))
         return reduce(lambda a, b: a.crossJoin(b), parts)  # one row each
 
-    def _stage_graphLookup(self, df: DataFrame, spec: Mapping[str, Any]) -> DataFrame:  # noqa: N802
-        """Documents reachable from ``startWith`` by following connectFromField to connectToField."""
-        from larkspan.sources.durable import durable
-
-        right = self._visible(spec["from"])
-        key = durable(df.withColumn("__row", F.monotonically_increasing_id()))
-        nodes = right.select(F.col(spec["connectToField"]).alias("__to"), F.col(spec["connectFromField"]).alias("__next"), F.struct(*[F.col(f"`{c}`") for c in right.columns]).alias("__doc"))
-        front = key.select("__row", _expression(key, spec["startWith"]).alias("__at")).where(F.col("__at").isNotNull()).distinct()
-        seen = None
-        depth = spec.get("maxDepth")
-        rounds = count() if depth is None else range(depth + 1)
-        for _ in rounds:  # ends where nothing new is reached: each round has documents not seen before
-            hit = front.join(nodes, F.col("__at") == F.col("__to")).select("__row", "__to", "__next", "__doc")
-            hit = durable(hit if seen is None else hit.join(seen.select("__row", "__to").distinct(), ["__row", "__to"], "left_anti"))
-            if not hit.limit(1).count():
-                break
-            seen = hit if seen is None else durable(seen.unionByName(hit))
-            front = hit.select("__row", F.col("__next").alias("__at")).where(F.col("__at").isNotNull()).distinct()
-        empty = F.array().cast(T.ArrayType(nodes.schema["__doc"].dataType))
-        if seen is None:
-            return key.drop("__row").withColumn(spec["as"], empty)
-        grouped = seen.groupBy("__row").agg(F.array_sort(F.collect_list("__doc")).alias("__got"))
-        return key.join(grouped, "__row", "left").withColumn(spec["as"], F.coalesce("__got", empty)).drop("__row", "__got")
+    def _stage_graphLookup(self, df: DataFrame, spec: Mapping[str, Any], sized: bool = False) -> DataFrame:  # noqa: N802
+        """Documents reachable from ``startWith`` by following connectFromField to connectToField; only their number if ``sized``."""
+        name = graph.size_field(spec["as"]) if sized else spec["as"]
+        start = _expression(df, spec["startWith"])
+        return graph.lookup(df, self._visible(spec["from"]), start, spec["connectFromField"], spec["connectToField"], name, spec.get("maxDepth"), sized)
 
     # writing: each returns the layer with a new table
 

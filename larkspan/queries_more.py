@@ -527,8 +527,8 @@ def documents_facet(spark: SparkSession, sf_dir: str) -> DataFrame:
 def documents_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tree of orders, each under the one of half its number, followed to the root."""
     tree = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.expr("nullif(o_orderkey div 2, 0)").alias("parent"))
-    found = M.Documents({"tree": tree}).aggregate("tree", [{"$graphLookup": {"from": "tree", "startWith": "$parent", "connectFromField": "parent", "connectToField": "k", "as": "up"}}])
-    return found.select("k", F.size("up").cast("long").alias("reached"))
+    found = M.Documents({"tree": tree}).aggregate("tree", [{"$graphLookup": {"from": "tree", "startWith": "$parent", "connectFromField": "parent", "connectToField": "k", "as": "up"}}, {"$project": {"k": 1, "reached": {"$size": "$up"}}}])
+    return found.select("k", F.col("reached").cast("long").alias("reached"))
 
 
 @_register("documents_update", f"SELECT {_ID}, CASE WHEN o_orderstatus <> 'F' AND o_custkey < 100 THEN -1.0 ELSE o_totalprice END AS price FROM orders")

@@ -94,6 +94,33 @@ def test_a_graph_of_any_depth(spark):
     assert {r.k: len(r.above) for r in found.collect()} == {105: 105, 900: 2, 901: 2}
 
 
+def test_graphs_by_their_sizes_and_documents(spark):
+    """Chains, branches, circles, doubled and missing documents, against a walk; sizes alone read no documents."""
+    rows = [(i, i // 2 or None) for i in range(1, 40)] + [(17, 8), (50, 51), (51, 52), (52, 50), (53, 50), (60, 1), (60, 50), (61, 60), (62, 99), (63, None), (64, 64)]
+    starts = [(i, s) for i, s in enumerate([None, 1, 17, 34, 39, 50, 53, 60, 61, 62, 63, 64, 99, 7, 7])]
+    docs = M.Documents({"t": spark.createDataFrame(rows, "k long, up int"), "s": spark.createDataFrame(starts, "id int, at int")})
+
+    def walk(start, depth=None):
+        seen, front = set(), {start}
+        while front and (depth is None or depth >= 0):
+            front = {x for x in front if any(k == x for k, _ in rows)} - seen
+            seen |= front
+            front = {u for k, u in rows if k in front and u is not None}
+            depth = None if depth is None else depth - 1
+        return sorted((r for r in rows if r[0] in seen), key=lambda r: (r[0], r[1] is not None, r[1] or 0))
+
+    for depth in (None, 0, 2):
+        look = {"from": "t", "startWith": "$at", "connectFromField": "up", "connectToField": "k", "as": "all"} | ({} if depth is None else {"maxDepth": depth})
+        want = {i: walk(s, depth) for i, s in starts}
+        found = docs.aggregate("s", [{"$graphLookup": look}])
+        assert {r.id: [tuple(x) for x in r["all"]] for r in found.collect()} == want
+        sized = docs.aggregate("s", [{"$graphLookup": look}, {"$project": {"id": 1, "n": {"$size": "$all"}}}])
+        assert {r.id: r.n for r in sized.collect()} == {i: len(w) for i, w in want.items()}
+        assert "collect_list" not in sized._jdf.queryExecution().toString()
+    both = docs.aggregate("s", [{"$graphLookup": look}, {"$project": {"n": {"$size": "$all"}, "all": 1}}])
+    assert all(len(r["all"]) == r.n for r in both.collect())
+
+
 def test_a_facet_too_large_is_refused(docs, monkeypatch):
     monkeypatch.setattr(M, "MOST_FACET", 2)
     with pytest.raises(EngineError, match="facet_too_large"):
