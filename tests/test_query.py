@@ -217,6 +217,24 @@ def test_pages_join_to_the_whole(db):
         e.page("from orders", after=token, now=1e12)
 
 
+def test_all_pages_by_one_sort(db, spark):
+    """The rows, pages and tokens that following page by page gives, with no more jobs for more pages."""
+    e = Engine(db)
+    for text in ("from orders order by customer_id desc nulls first", "from edge order by a desc", "from orders", "from orders order by status limit 4", "from orders order by status limit 3", "from orders where id < 0", "from orders group by status project count() as n", "from orders project status order by total", "from orders enrich c using customers matching customer_id = id expect many project { id, who: c.name }"):
+        for size in (2, 100):
+            rows, tokens, after = [], [], None
+            while True:
+                page = e.page(text, after=after, size=size, now=1e9)
+                rows += [(len(tokens), str(r)) for r in page.rows.collect()]
+                after = page.continuation
+                if after is None:
+                    break
+                tokens.append(after)
+            found = e.pages(text, size=size, now=1e9)
+            assert [(r[found.number], str(r)) for r in found.rows.collect()] == [(n, r[:-1] + f", _page={n})") for n, r in rows], (text, size)
+            assert found.continuations == tuple(tokens), (text, size)
+
+
 def test_coverage_and_budgets(db, spark):
     holed = Database(spark)
     holed.add("t", spark.range(10).withColumnRenamed("id", "n"), "n", [Hole("part-3", "missing")])
