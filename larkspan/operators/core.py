@@ -18,6 +18,7 @@ from larkspan.plans.paging import Cursor, CursorKey
 from larkspan.plans.predicates import Compiler
 from larkspan.plans.query import Budget, Plan
 from larkspan.plans.text import parse_with_explain
+from larkspan.sources.durable import numbered
 
 
 @dataclass(frozen=True)
@@ -275,21 +276,6 @@ class Engine:
         return Pages(rows, tokens, holes, plan.hash())
 
 
-def numbered(df: DataFrame, name: str) -> DataFrame:
-    """Sorted rows, written once, with their place in the order from 0; a number per partition comes to the driver."""
-    from larkspan.sources.durable import durable
-
-    bits = 33  # of a row's place in its partition, as monotonically_increasing_id gives it
-    kept = durable(df).withColumn("__id", F.monotonically_increasing_id())
-    part = F.shiftright("__id", bits)
-    sizes = {r.p: r.n for r in kept.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    before, so_far = {}, 0
-    for p in sorted(sizes):
-        before[p], so_far = so_far, so_far + sizes[p]
-    offsets = F.create_map(*[F.lit(x).cast("long") for pair in before.items() for x in pair]) if before else F.lit(None).cast("map<bigint,bigint>")
-    return kept.withColumn(name, F.try_element_at(offsets, part) + F.col("__id") - F.shiftleft(part, bits)).drop("__id")
-
-
 def _beyond(order: list[SortColumn], values: tuple[Any, ...], schema: T.StructType) -> Column:
     """Rows after a sort tuple in the total order."""
     test = F.lit(False)

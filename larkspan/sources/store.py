@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from larkspan.catalog import Collection, Database, Hole, check_key, check_name
 from larkspan.errors import BudgetError, CoverageError, EngineError, StaticError
+from larkspan.sources.durable import numbered
 
 EVENTS = "collection string, key string, kind string, tag string, body string, bytes binary, segment long, seq long, offset long, file string, event_id string, operation_id string, complete boolean, written_at timestamp"
 #: The order in which a subject's events are recovered.
@@ -335,6 +336,18 @@ class Store:
         rows = rows.orderBy("key")
         return (rows if limit is None else rows.limit(limit)), holes
 
+    def _scanned(self, collection: str, prefix: str, only: Sequence[int] | None, present: Sequence[int] | None, complete: bool) -> tuple[DataFrame, tuple[Hole, ...]]:
+        """Events of keys with a prefix in the virtual partitions asked for, and the holes among these."""
+        events = self.events().where((F.col("collection") == collection) & F.startswith(F.col("key"), F.lit(prefix)))
+        asked = set(range(PARTITIONS) if only is None else only)
+        there = asked if present is None else asked & set(present)
+        holes = tuple(Hole(f"partition-{p}", "missing") for p in sorted(asked - there))
+        if holes and complete:
+            raise CoverageError("incomplete", f"{len(holes)} partitions")
+        if len(there) < PARTITIONS:
+            events = events.where(partition_of(F.col("key")).isin(sorted(there)))
+        return events, holes
+
     def scan_page(self, collection: str, prefix: str = "", documents: int = 256, result_bytes: int | None = None, after: str | None = None, only: Sequence[int] | None = None, present: Sequence[int] | None = None, complete: bool = True) -> ScanPage:
         """One page of a scan over virtual partitions, in order of keys.
 
@@ -344,16 +357,9 @@ class Store:
         """
         if documents < 1:
             raise StaticError("bad_budget", str(documents))
-        events = self.events().where((F.col("collection") == collection) & F.startswith(F.col("key"), F.lit(prefix)))
+        events, holes = self._scanned(collection, prefix, only, present, complete)
         if after is not None:
             events = events.where(F.col("key") > F.lit(after))
-        asked = set(range(PARTITIONS) if only is None else only)
-        there = asked if present is None else asked & set(present)
-        holes = tuple(Hole(f"partition-{p}", "missing") for p in sorted(asked - there))
-        if holes and complete:
-            raise CoverageError("incomplete", f"{len(holes)} partitions")
-        if len(there) < PARTITIONS:
-            events = events.where(partition_of(F.col("key")).isin(sorted(there)))
         rows = live(events)
         ends = rows.select("key", F.coalesce(F.octet_length("body"), F.octet_length("bytes"), F.lit(0)).alias("n")).orderBy("key").limit(documents + 1).collect()  # at most a page
         n, held = 0, 0
@@ -366,6 +372,21 @@ class Store:
         page = rows.where(F.col("key") <= F.lit(ends[n - 1].key)).orderBy("key")
         return ScanPage(page, holes, ends[n - 1].key if n < len(ends) else None)
 
+    def scan_pages(self, collection: str, prefix: str = "", documents: int = 256, only: Sequence[int] | None = None, present: Sequence[int] | None = None, complete: bool = True) -> ScanPages:
+        """All pages that following ``scan_page`` from continuation to continuation gives, by one sort.
+
+        Page by page every page brings the log to its live state again, and
+        every task sends a page of keys to the driver.
+        """
+        if documents < 1:
+            raise StaticError("bad_budget", str(documents))
+        events, holes = self._scanned(collection, prefix, only, present, complete)
+        rows = numbered(live(events).orderBy("key"), "__at")
+        last = rows.where(F.col("__at") % documents == documents - 1).select("__at", "key").orderBy("__at").collect()  # one key a page
+        total = rows.agg(F.max("__at")).first()[0]
+        rows = rows.withColumn("page", F.floor(F.col("__at") / documents).cast("long")).drop("__at")
+        return ScanPages(rows, holes, tuple(r.key for r in last if r["__at"] < total))
+
     # indexes: projections sorted by document fields, each made from the events up to a segment
 
     def create_index(self, collection: str, name: str, fields: Sequence[str]) -> None:
@@ -438,6 +459,15 @@ class ScanPage:
     continuation: str | None
 
 
+@dataclass(frozen=True)
+class ScanPages:
+    """Rows of all pages of a scan in order, each with its ``page``, the holes, and the key after which each page but the first goes on."""
+
+    rows: DataFrame
+    holes: tuple[Hole, ...]
+    continuations: tuple[str, ...]
+
+
 def budgeted_history(events: DataFrame, collection: str, key: str, most: int) -> DataFrame:
     """A history that may not exceed ``most`` versions."""
     found = history(events, collection, key)

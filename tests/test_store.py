@@ -132,6 +132,26 @@ def test_conditional_writes_are_atomic(spark, tmp_path):
     assert len(set(segments)) == len(segments) == 7 and s.get("t", "b") == made.index(True)
 
 
+def test_all_scan_pages_by_one_sort(spark, tmp_path):
+    """Rows, pages and continuations as page by page."""
+    s = S.Store(spark, str(tmp_path / "s"))
+    s.put_many("t", {f"{p}{i:02d}": {"n": i} for p in "ab" for i in range(20)})
+    s.delete("t", "a03")
+    for documents, prefix, there in ((7, "a", None), (19, "a", None), (100, "", range(40)), (3, "zz", None)):
+        want, ends, after = [], [], None
+        while True:
+            page = s.scan_page("t", prefix=prefix, after=after, documents=documents, present=there, complete=False)
+            want += [(r.key, len(ends)) for r in page.rows.collect()]
+            after = page.continuation
+            if after is None:
+                break
+            ends.append(after)
+        found = s.scan_pages("t", prefix=prefix, documents=documents, present=there, complete=False)
+        assert [(r.key, r.page) for r in found.rows.collect()] == want and found.continuations == tuple(ends) and found.holes == page.holes
+    with pytest.raises(CoverageError):
+        s.scan_pages("t", present=[1])
+
+
 def test_scan_pages(spark, tmp_path):
     s = S.Store(spark, str(tmp_path / "s"))
     s.put_many("t", {f"{p}{i:02d}": {"n": i} for p in "ab" for i in range(20)})
