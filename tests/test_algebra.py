@@ -107,3 +107,23 @@ def test_rows(spark):
 
     c, _ = A.to_column(A.parse_expr("{ yield x + 1 | x in xs | x > 1 }"), {"xs": (F.col("xs"), df.schema["xs"].dataType)})
     assert [[int(v) for v in r[0]] for r in df.select(c).collect()] == [[3], [4], []]
+
+
+ODD_ROWS = [(1, 5, "ab", True), (None, 3, "x", False), (2**63 - 1, -(2**31), 'q"\\', True), (-(2**63), 2**31 - 1, "é \x01/", None), (0, None, None, False), (7, 0, "", True)]
+
+
+def check_native(spark, program, native=True):
+    """A program gives the evaluator's text in every row; whether any row does without it."""
+    rows = spark.createDataFrame([(*r, [1, 2]) for r in ODD_ROWS], "k long, n int, s string, b boolean, xs array<int>")
+    want = [A.json.dumps(A.evaluate(program, **r.asDict()), sort_keys=True, ensure_ascii=False) for r in rows.collect()]
+    assert [r.value for r in A.map_rows(rows, program).collect()] == want, program
+    found = A._native(rows, A.parse(program))
+    assert (found is not None and rows.where(found.isNotNull()).count() > 0) == native, program
+
+
+def test_constants_are_evaluated_once(spark):
+    check_native(spark, 'Map{k: k, s: typeOf(Set{1, 1}), n: { yield x * 2 | x in Seq[3, 4] }, e: Set{2, 1, 2} = Set{1, 2}, t: s, o: Some(b), z: Seq[n, null, " \\""], f: nothing, g: typeOf(n)}')
+    check_native(spark, "Map{k: k, a: typeOf(Set{n}), b: k in xs}", native=False)
+    check_native(spark, 'Map{"$type": s, k: k}', native=False)
+    used = A.map_rows(spark.createDataFrame([(1, [2])], "k long, xs array<int>"), "Map{k: k}")
+    assert "xs" not in used._jdf.queryExecution().optimizedPlan().toString().split("LogicalRDD")[0]
