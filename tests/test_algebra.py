@@ -127,3 +127,21 @@ def test_constants_are_evaluated_once(spark):
     check_native(spark, 'Map{"$type": s, k: k}', native=False)
     used = A.map_rows(spark.createDataFrame([(1, [2])], "k long, xs array<int>"), "Map{k: k}")
     assert "xs" not in used._jdf.queryExecution().optimizedPlan().toString().split("LogicalRDD")[0]
+
+
+@pytest.mark.parametrize(
+    "program",
+    [
+        'let m = Map{x: n}; Map{k: k, a: mapRes(m<x>!, v => v + 1) = Ok(n + 1), b: orElseRes(m<y>!, n), c: typeOf(bindRes(m<x>!, v => Fail("odd", "no"))), d: typeOf(mapRes(m<y>!, v => v))}',
+        "Map{k: k, a: n * 3 - 1, b: -n + 2, c: k + k, d: k * n, e: n = 5, f: n != 1 / 2, g: Seq[n, s] = Seq[3, \"x\"], h: Some(n) = Ok(n), i: n = s, j: n = null}",
+        'Map{a: n > 3 and not (k >= 7), b: s < "b" or b, c: startsWith(s, "a"), d: strContains(s, ""), e: n + s, f: not n, g: n and b, h: s <= n, i: startsWith(s, n), j: n < s}',
+        "Map{a: Bind(n, s) = Bind(n, \"ab\"), b: Prod{x: n} = Prod{x: 3}, c: Prod{x: n}<x>, d: Map{x: n, y: 1} = Map{y: 1, x: 0}, e: n |> _ + 1, f: (x => x * x)(n)}",
+    ],
+)
+def test_operations_on_columns(spark, program):
+    check_native(spark, program)
+
+
+def test_what_rows_decide_is_left_to_the_evaluator(spark):
+    for program in ("Map{a: 1 / n}", "Map{a: n < 1 / 2}", "Map{a: n in Seq[1, 3]}", "Map{a: k * k * k}", "Map{a: s ++ s}", "Map{a: { x in Seq[1, 2] | n > x }}", "Map{a: asBagKV(Bag{Bind(s, 1)})<x>!}", "Map{a: getPath(Map{x: 1}, Seq[s])}", "Map{a: Fail(s, s)}", "Map{a: Set{n, 3}}"):
+        check_native(spark, program, native=False)
